@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import broadcast_if_small, materialise
+from ..lineage import materialise
 
 BINS = 4096
 MAX_PASSES = 400
+SMALL = 1_000_000  # brackets that may be broadcast
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -57,9 +58,12 @@ def order_statistics(
         state = materialise(state, "brackets")
         solved.append(state.where("low = high"))
         state = state.where("low < high")
-        open_brackets = broadcast_if_small(state.select(*group, "low", "high").distinct())
-        if open_brackets.isEmpty():
+        open_brackets = state.select(*group, "low", "high").distinct()
+        left = open_brackets.count()
+        if left == 0:
             break
+        if left <= SMALL:
+            open_brackets = F.broadcast(open_brackets)
         state = _narrow(values, state, open_brackets, group, bins)
     answers = reduce(DataFrame.unionByName, solved)
     wide = answers.groupBy(*group).pivot("name", list(ranks)).agg(F.first("low"))
