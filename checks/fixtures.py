@@ -6,11 +6,13 @@ Cells are ``l_partkey % 24`` by ``l_suppkey % 10``. Values are whole numbers
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberframe.lineage import materialise
 from emberframe.operators.grid import Grid, with_centres
 from emberframe.plans.panel_build import PanelInputs
 
@@ -63,7 +65,7 @@ OBS = """obs AS (SELECT CAST(l_partkey % 24 AS INT) AS col, CAST(l_suppkey % 10
   l_quantity AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_tax * 100) AS BIGINT) AS tax,
   l_returnflag AS flag, l_linestatus AS status FROM lineitem)"""
 
-XY = """-180.0 + (col + 0.5) * 0.25 AS x, 90.0 - ("row" + 0.5) * 0.25 AS y"""
+XY = """CAST(-180.0 + (col + 0.5) * 0.25 AS DOUBLE) AS x, CAST(90.0 - ("row" + 0.5) * 0.25 AS DOUBLE) AS y"""
 KEY = """col, "row", "Year", "Month\""""
 
 # Monthly layers: name -> (aggregate, row filter), valid in Spark and DuckDB alike.
@@ -102,6 +104,14 @@ def monthly(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def _filtered(name: str) -> str:
+    """The aggregate over the layer's own rows only; null where it has none."""
+    aggregate, rows = MONTHLY[name]
+    for f in ("avg", "sum", "min", "max", "count"):
+        aggregate = re.sub(rf"\b{f}\(([^()]*)\)", rf"{f}(\1) FILTER (WHERE {rows})", aggregate)
+    return f"nullif({aggregate}, 0)" if "count" in aggregate else aggregate
+
+
 def monthly_sql(name: str) -> str:
     aggregate, rows = MONTHLY[name]
     return f'm_{name} AS (SELECT {KEY}, {aggregate} AS "{name}" FROM obs WHERE {rows} GROUP BY ALL)'
@@ -148,8 +158,17 @@ def codes_sql(name: str, first: int, labels: tuple[str, ...], code: str, text: s
     return f'{name}({code}, {text}) AS (VALUES {values})'
 
 
+def all_monthly(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every monthly layer, aggregated in one pass and written before use."""
+    wide = observations(spark, folder).groupBy("col", "row", "Year", "Month").agg(
+        *[F.expr(_filtered(n)).alias(n) for n in MONTHLY]
+    )
+    wide = materialise(wide, "layers")
+    return {n: wide.select("col", "row", "Year", "Month", n).dropna(subset=[n]) for n in MONTHLY}
+
+
 def panel_inputs(spark: SparkSession, folder: str) -> PanelInputs:
-    m = {name: monthly(spark, folder, name) for name in MONTHLY}
+    m = all_monthly(spark, folder)
     tree = [(m[c], c) for c in ("LC_TreeBE", "LC_TreeNE", "LC_TreeBD", "LC_TreeND")]
     shrub = [(m[c], c) for c in ("LC_ShrubBE", "LC_ShrubNE", "LC_ShrubBD")]
     single = {c: [(m[c], c)] for c in ("LC_Crop", "LC_Herbs", "LC_Bare")}

@@ -19,13 +19,11 @@ def ascii_grids(spark: SparkSession, paths: str | list[str], pattern: str = "*")
     One task reads one file, so a stack of yearly files reads in parallel.
     """
     text = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .text(paths)
+        spark.read.text(paths, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
-    body = F.trim(F.regexp_replace("value", r"(?im)^\s*[a-z_]+\s+\S+\s*$", ""))
+    numbers = F.regexp_replace("value", r"(?im)^[ \t]*[a-z_]+[ \t]+\S+[ \t\r]*$", "")
+    body = F.regexp_replace(numbers, r"^\s+|\s+$", "")
     parsed = text.select(
         "path",
         _header("ncols").cast("int").alias("ncols"),

@@ -15,16 +15,14 @@ def polygon_rings(
     layout is one feature per line, which splits across tasks; ``collection``
     reads a single FeatureCollection document.
     """
-    fields = ", ".join(f"`{n}` {t}" for n, t in attributes.items())
-    feature = (
-        f"struct<properties: struct<{fields}>, "
-        "geometry: struct<type: string, coordinates: string>>"
-    )
+    fields = ", ".join(f"`{n}`: {t}" for n, t in attributes.items())
+    properties, geometry = f"struct<{fields}>", "struct<type: string, coordinates: string>"
     if collection:
-        raw = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
+        schema = f"features array<struct<properties: {properties}, geometry: {geometry}>>"
+        raw = spark.read.schema(schema).json(path, multiLine=True)
         raw = raw.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
     else:
-        raw = spark.read.schema(feature[len("struct<"):-1]).json(path)
+        raw = spark.read.schema(f"properties {properties}, geometry {geometry}").json(path)
     polygon = F.from_json("geometry.coordinates", "array<array<array<double>>>")
     multi = F.flatten(F.from_json("geometry.coordinates", "array<array<array<array<double>>>>"))
     rings = F.when(F.col("geometry.type") == "MultiPolygon", multi).otherwise(polygon)
