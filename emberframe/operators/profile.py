@@ -114,7 +114,7 @@ def round_step(span: Column, bins: Column) -> Column:
 
 
 def _breaks(stats: DataFrame) -> DataFrame:
-    wanted = F.ceil(F.log2(F.col("n")) + 1)
+    wanted = F.ceil(F.log2(F.col("n")) + 1 - 1e-9)
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(
         F.greatest(F.abs("high"), F.lit(1.0))
     )
@@ -173,9 +173,10 @@ def normal_histograms(df: DataFrame, column: str, transforms: Sequence[str]) ->
     middle = (F.col("lower") + F.col("upper")) / 2
     z = (middle - F.col("mean")) / F.col("sd")
     density = F.exp(-0.5 * z * z) / (F.col("sd") * (2 * 3.141592653589793) ** 0.5)
-    return counts.join(F.broadcast(stats.select("variable", "n", "mean", "sd")), "variable").select(
+    fitted = stats.select("variable", F.col("n").alias("total"), "mean", "sd")
+    return counts.join(F.broadcast(fitted), "variable").select(
         "variable", "bin", "lower", "upper", "N", "mean", "sd",
-        (density * F.col("n") * (F.col("upper") - F.col("lower"))).alias("expected"),
+        (density * F.col("total") * (F.col("upper") - F.col("lower"))).alias("expected"),
     )
 
 

@@ -100,14 +100,14 @@ def quantile_ranks(probabilities: Mapping[str, float]) -> dict[str, Column]:
     """Neighbouring ranks of each linear-interpolation quantile (type 7)."""
     out: dict[str, Column] = {}
     for name, p in probabilities.items():
-        h = (F.col("n") - 1) * p + 1
-        out[f"{name}_a"] = F.floor(h)
-        out[f"{name}_b"] = F.ceil(h)
+        h = (F.col("n") - 1) * p
+        out[f"{name}_a"] = F.floor(h) + 1
+        out[f"{name}_b"] = F.ceil(h) + 1
     return out
 
 
 def interpolated(name: str, p: float) -> Column:
-    h = (F.col("n") - 1) * p + 1
+    h = (F.col("n") - 1) * p
     part = h - F.floor(h)
     return F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * part
 
