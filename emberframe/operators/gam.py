@@ -212,7 +212,7 @@ def _choose(score, rho: np.ndarray) -> np.ndarray:
             lo, hi = grid[max(low - 1, 0)], grid[min(low + 1, len(grid) - 1)]
             a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
             fa, fb = f(a), f(b)
-            while hi - lo > 1e-3:
+            while hi - lo > 1e-2:
                 if fa < fb:
                     hi, b, fb = b, a, fa
                     a = hi - ratio * (hi - lo)

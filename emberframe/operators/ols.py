@@ -94,23 +94,22 @@ def step_backward(
     Returns the final fit and the path of (dropped term, AIC after it).
     """
     current = tuple(terms)
-    best = _step_aic(moments, stratum, current)
-    path: list[tuple[str, float]] = [("", best)]
+    fit = ols_of(moments, stratum, current, label)
+    path: list[tuple[str, float]] = [("", _step_aic(fit.n, fit.extra["rss"], len(fit.names)))]
     while True:
-        trials = []
-        for t in droppable(current):
-            rest = tuple(u for u in current if u != t)
-            trials.append((_step_aic(moments, stratum, rest), t.name, rest))
-        if not trials:
-            break
-        aic, name, rest = min(trials, key=lambda trial: trial[:2])
-        if aic >= best:
-            break
-        current, best = rest, aic
-        path.append((name, aic))
-    return ols_of(moments, stratum, current, label), path
-
-
-def _step_aic(moments: CrossProducts, stratum: str, terms: Sequence[Term]) -> float:
-    fit = ols_of(moments, stratum, terms)
-    return fit.n * math.log(fit.extra["rss"] / fit.n) + 2 * len(fit.names)
+        # leaving out one term raises the residual sum of squares by beta^2 / (X'X)^-1
+        rise = dict(zip(fit.names, fit.beta**2 / np.diag(fit.covariance) * fit.sigma2))
+        trials = [
+            (_step_aic(fit.n, fit.extra["rss"] + rise[t.name], len(fit.names) - 1), t.name)
+            for t in droppable(current)
+            if t.name in rise
+        ]
+        if not trials or min(trials)[0] >= path[-1][1]:
+            return fit, path
+        path.append(min(trials)[::-1])
+        current = tuple(t for t in current if t.name != path[-1][0])
+        fit = ols_of(moments, stratum, current, label)
+
+
+def _step_aic(n: int, rss: float, size: int) -> float:
+    return n * math.log(rss / n) + 2 * size

@@ -1,9 +1,10 @@
-"""Exact order statistics by narrowing value brackets.
+"""Exact order statistics of any column in any group.
 
-A group may hold a third of the table, so its values are never gathered or
-sorted in one task. Each pass counts values per (group, bracket, bin) with
-map-side combine; only the counts are shuffled. The bin that holds the wanted
-rank becomes the next bracket, until a bracket is a single value.
+Group sizes are counted first. While every group is small its values are
+sorted as one array. A large group may hold a third of the table, so its values
+are never gathered: each pass counts values per (group, bracket, bin) with
+map-side combine and only the counts are shuffled. The bin that holds the
+wanted rank becomes the next bracket, until a bracket is a single value.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..lineage import materialise
 BINS = 4096
 MAX_PASSES = 400
 SMALL = 1_000_000  # brackets that may be broadcast
+GATHERED = 200_000  # values of one group that may be sorted as an array
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -30,7 +32,12 @@ def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Mapping[str, Column], bins: int = BINS
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    ranks: Mapping[str, Column],
+    bins: int = BINS,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """(keys..., variable, n, low, high, mean, sd, <one column per rank>).
 
@@ -49,6 +56,11 @@ def order_statistics(
         ),
         "sizes",
     )
+    largest = sizes.agg(F.max("n")).first()[0]
+    if largest is None or largest <= gathered:
+        lists = values.groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("_v"))
+        picked = {name: F.element_at("_v", rank.cast("int")) for name, rank in ranks.items()}
+        return sizes.join(lists, group).select(*sizes.columns, *[v.alias(k) for k, v in picked.items()])
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]))
     state = sizes.select(*group, "low", "high", F.lit(0).cast("bigint").alias("below"), wanted.alias("_w")).select(
         *group, "low", "high", "below", "_w.name", "_w.rank"

@@ -61,19 +61,6 @@ def sum_blocks(
                         totals[name, label] = np.array(vector, dtype=float)
                         numbers += len(vector)
 
-        def emit():
-            items = list(totals.items())
-            for at in range(0, len(items), 1000):
-                some = items[at : at + 1000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k for (k, _), _ in some], pa.string()),
-                        pa.array([label for (_, label), _ in some], pa.string()),
-                        pa.array([v for _, v in some], pa.list_(pa.float64())),
-                    ],
-                    names=["key", "label", "sums"],
-                )
-
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -83,37 +70,65 @@ def sum_blocks(
                 reduce_held()
                 held, rows = [], 0
                 if numbers > HELD_NUMBERS:
-                    yield from emit()
+                    yield from _batches(totals)
                     totals.clear()
                     numbers = 0
         if held:
             reduce_held()
-        yield from emit()
-
-    partial = data.mapInArrow(partial_sums, "key string, label string, sums array<double>")
-    total = (
-        partial.select("key", "label", F.posexplode("sums").alias("place", "v"))
-        .groupBy("key", "label", "place")
-        .agg(F.sum("v").alias("v"))
-        .toArrow()
-    )
-    key_column = total.column("key").to_pylist()
-    label_column = total.column("label").to_pylist()
-    place = total.column("place").to_numpy()
-    value = total.column("v").to_numpy()
-    where: dict[tuple[str, str], list[int]] = {}
-    for i, at in enumerate(zip(key_column, label_column)):
-        where.setdefault(at, []).append(i)
+        yield from _batches(totals)
+
+    # one short row per task, key and label; added up where it lands, as it streams in
+    schema = "key string, label string, sums array<double>"
+    partial = data.mapInArrow(partial_sums, schema).repartition("key", "label")
+    total = partial.mapInArrow(_add_up, schema).toArrow()
     out = {}
-    for (k, label), at in where.items():
-        vector = np.empty(len(at))
-        vector[place[at]] = value[at]
+    for k, label, vector in zip(*[total.column(i).to_pylist() for i in range(2)], _vectors(total.column(2))):
         if np.isnan(vector).any():
             raise ValueError("missing values among the model columns; drop incomplete rows first")
         out[tuple(k.split(SEPARATOR)), label] = vector
     return out
 
 
+def _add_up(batches):
+    totals: dict[tuple[str, str], np.ndarray] = {}
+    for batch in batches:
+        names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for at, vector in zip(names, _vectors(batch.column(2))):
+            if at in totals:
+                totals[at] += vector
+            else:
+                totals[at] = vector.copy()
+    yield from _batches(totals)
+
+
+def _vectors(lists):
+    """The rows of a list column as NumPy slices."""
+    import pyarrow as pa
+
+    for chunk in lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]:
+        numbers = chunk.values.to_numpy(zero_copy_only=False)
+        ends = chunk.offsets.to_numpy()
+        for start, end in zip(ends[:-1], ends[1:]):
+            yield numbers[start:end]
+
+
+def _batches(totals: dict[tuple[str, str], np.ndarray]):
+    import pyarrow as pa
+
+    items = list(totals.items())
+    for at in range(0, len(items), 1000):
+        some = items[at : at + 1000]
+        ends = np.cumsum([0] + [len(v) for _, v in some]).astype("int32")
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k for (k, _), _ in some], pa.string()),
+                pa.array([label for (_, label), _ in some], pa.string()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v for _, v in some]))),
+            ],
+            names=["key", "label", "sums"],
+        )
+
+
 def packed(matrix: np.ndarray) -> np.ndarray:
     """Upper triangle of a symmetric matrix as a vector."""
     return matrix[np.triu_indices(len(matrix))]
