@@ -22,7 +22,7 @@ from .ranks import quantiles
 from .sums import packed, sum_blocks, unpacked
 
 KNOTS = 10
-LOG_LAMBDA = (-16.0, 30.0)
+LOG_LAMBDA = (-16.0, 20.0)
 
 
 class Spline:
