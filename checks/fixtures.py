@@ -143,7 +143,7 @@ def biomes(spark: SparkSession, folder: str) -> DataFrame:
 
 def continents(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("Continent"))
-    return cells(spark, folder).withColumn("k", F.col("row") % 6).join(F.broadcast(names), "k").drop("k")
+    return cells(spark, folder).withColumn("k", F.col("row") % 6).join(names, "k").drop("k")
 
 
 CELLS = 'cells AS (SELECT DISTINCT col, "row" FROM obs)'

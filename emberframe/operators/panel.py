@@ -37,9 +37,13 @@ def keep_known(panel: DataFrame, layer: DataFrame, key: Sequence[str], value: st
 
 
 def lookup(df: DataFrame, dimension: DataFrame, on: str, other: str | None = None) -> DataFrame:
-    """Attach a code table of fixed length (regions, biomes, continents)."""
+    """Attach a code table (regions, biomes, continents).
+
+    No hint: the planner broadcasts it while its known size is small, and
+    splits a hot code as a skewed join beyond that.
+    """
     named = dimension if other is None else dimension.withColumnRenamed(other, on)
-    return df.join(F.broadcast(named), on, "left")
+    return df.join(named, on, "left")
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fire regions by code, 0 being sea.
 REGIONS = (
@@ -45,9 +46,15 @@ BIOMES = (
 INDIGENOUS, NOT_INDIGENOUS = "Indigenous Land", "None Indigenous Land"
 
 
+def _code_table(spark: SparkSession, code: str, text: str, labels: tuple[str, ...], first: int) -> DataFrame:
+    """Codes counted from ``first``; the planner knows the size and broadcasts it."""
+    label = F.element_at(F.array(*[F.lit(t) for t in labels]), (F.col("id") + 1).cast("int"))
+    return spark.range(len(labels)).select((F.col("id") + first).cast("int").alias(code), label.alias(text))
+
+
 def region_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(REGIONS)), "Regions int, GFED_Regions_Desc string")
+    return _code_table(spark, "Regions", "GFED_Regions_Desc", REGIONS, 0)
 
 
 def biome_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(BIOMES, start=1)), "Biomes int, Biomes_Desc string")
+    return _code_table(spark, "Biomes", "Biomes_Desc", BIOMES, 1)
