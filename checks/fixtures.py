@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.lineage import materialise
+from emberframe.lineage import materialise, spread
 from emberframe.operators.grid import Grid, with_centres
 from emberframe.plans.panel_build import PanelInputs
 
@@ -236,8 +236,12 @@ DRIVERS = ("l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", "s_ac
 
 def model_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with part and supplier attributes; response ``y`` is a log price."""
+    items = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
+        "l_quantity", "l_discount", "l_tax",
+    )
     return (
-        table(spark, folder, "lineitem")
+        spread(items, "l_orderkey", "l_linenumber")
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
@@ -259,8 +263,9 @@ MODEL_ROWS = """rows_ AS (SELECT l_orderkey, l_linenumber, p_brand, s_nationkey,
 
 def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with customer attributes, keyed by o_orderkey."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return (
-        table(spark, folder, "orders")
+        spread(orders, "o_orderkey")
         .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             "o_orderkey", "c_mktsegment", "o_orderstatus",

@@ -44,6 +44,17 @@ def materialise(df: DataFrame, label: str = "table", partition_by: tuple[str, ..
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Spread rows over all cores when they come from fewer files than that.
+
+    ``key`` should tell most rows apart: hashing it needs no sort and gives
+    the same partitions when a task is run again. Tables of many files pass
+    untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if len(df.inputFiles()) < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` is at most ``max_rows``."""
     if df.limit(max_rows + 1).count() <= max_rows:

@@ -122,10 +122,20 @@ def _splines(df, drivers, stratum, knots, per_stratum) -> dict[str, dict[str, Sp
         name = str(row[stratum]) if stratum else ""
         if per_stratum is not None and row["variable"] not in per_stratum.get(name, ()):
             continue
-        out.setdefault(name, {})[row["variable"]] = Spline([row[k] for k in levels])
+        out.setdefault(name, {})[row["variable"]] = Spline(_spaced([row[k] for k in levels]))
     return out
 
 
+def _spaced(knots: Sequence[float]) -> list[float]:
+    """Tied quantiles, as of a driver that is mostly zero, give way to knots in the widest gaps."""
+    spaced = sorted(set(knots))
+    while 1 < len(spaced) < len(knots):
+        gaps = np.diff(spaced)
+        at = int(np.argmax(gaps))
+        spaced.insert(at + 1, spaced[at] + gaps[at] / 2)
+    return spaced
+
+
 def _solve(cross: np.ndarray, splines: dict[str, Spline], stratum: str, factor: str | None, log_lambda) -> GamFit:
     fixed = 2 if factor else 1
     n = int(round(cross[0, 0]))

@@ -56,55 +56,71 @@ def order_statistics(
         ),
         "sizes",
     )
-    largest = sizes.agg(F.max("n")).first()[0]
+    largest, groups = sizes.agg(F.max("n"), F.count("n")).first()
     if largest is None or largest <= gathered:
         lists = values.groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("_v"))
         picked = {name: F.element_at("_v", rank.cast("int")) for name, rank in ranks.items()}
         return sizes.join(lists, group).select(*sizes.columns, *[v.alias(k) for k, v in picked.items()])
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]))
-    state = sizes.select(*group, "low", "high", F.lit(0).cast("bigint").alias("below"), wanted.alias("_w")).select(
-        *group, "low", "high", "below", "_w.name", "_w.rank"
-    )
+    ends = sizes.select(*group, F.col("low").alias("_lo"), F.col("high").alias("_hi"))
+    if groups <= SMALL:
+        ends = F.broadcast(ends)
+    # the bin of the first pass stays with a value: later brackets lie inside one such bin
+    home = _bin(F.col("_lo"), F.col("_hi"), bins).alias("home")
+    values = values.join(ends, group).select(*group, "value", "_lo", "_hi", home)
+    start = sizes.select(*group, F.col("low").alias("_lo"), F.col("high").alias("_hi"), F.lit(0).cast("bigint").alias("below"), wanted.alias("_w"))
+    first = values.groupBy(*group, "_lo", "_hi", F.col("home").alias("bin")).agg(*_counted())
+    state = _pick(start.select(*group, "_lo", "_hi", "below", "_w.name", "_w.rank"), first, [*group, "_lo", "_hi"])
+    state = state.select(*group, F.col("bin").alias("home"), "low", "high", "below", "name", "rank")
     solved = []
     for _ in range(MAX_PASSES):
         state = materialise(state, "brackets")
         solved.append(state.where("low = high"))
         state = state.where("low < high")
-        open_brackets = state.select(*group, "low", "high").distinct()
+        bracket = [*group, "home", "low", "high"]
+        open_brackets = state.select(*bracket).distinct()
         left = open_brackets.count()
         if left == 0:
             break
         if left <= SMALL:
             open_brackets = F.broadcast(open_brackets)
-        state = _narrow(values, state, open_brackets, group, bins)
+        counted = (
+            values.join(open_brackets, [*group, "home"])
+            .where("value >= low AND value <= high")
+            .groupBy(*bracket, _bin(F.col("low"), F.col("high"), bins).alias("bin"))
+            .agg(*_counted())
+        )
+        renamed = {"low": "_lo", "high": "_hi"}
+        state = _pick(
+            state.withColumnsRenamed(renamed), counted.withColumnsRenamed(renamed), [*group, "home", "_lo", "_hi"]
+        ).select(*group, "home", "low", "high", "below", "name", "rank")
     answers = reduce(DataFrame.unionByName, solved)
     wide = answers.groupBy(*group).pivot("name", list(ranks)).agg(F.first("low"))
     return sizes.join(wide, group)
 
 
-def _narrow(values: DataFrame, state: DataFrame, open_brackets: DataFrame, group: list[str], bins: int) -> DataFrame:
-    """Replace each open bracket by the bin holding its rank."""
-    bracket = [*group, "low", "high"]
-    # halves keep the span of two huge opposite values finite
-    share = (F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
-    counted = (
-        values.join(open_brackets, group)
-        .where("value >= low AND value <= high")
-        .groupBy(*bracket, F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin"))
-        .agg(F.count("value").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    )
+def _counted() -> list[Column]:
+    return [F.count("value").alias("c"), F.min("value").alias("first"), F.max("value").alias("last")]
+
+
+def _bin(low: Column, high: Column, bins: int) -> Column:
+    """Equal-width bin of ``value``; halves keep the span of two huge opposite values finite."""
+    share = (F.col("value") / 2 - low / 2) / F.nullif(high / 2 - low / 2, F.lit(0.0))
+    return F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0))
+
+
+def _pick(state: DataFrame, counted: DataFrame, bracket: list[str]) -> DataFrame:
+    """The bin of each bracket that holds its rank: new ends and the count below it."""
     # at most ``bins`` rows per bracket
     running = Window.partitionBy(*bracket).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("c").over(running), F.lit(0)))
-    joined = state.join(counted, bracket)
     rest = F.col("rank") - F.col("below") - F.col("before")
-    return joined.where((rest >= 1) & (rest <= F.col("c"))).select(
-        *group,
-        F.col("lo").alias("low"),
-        F.col("hi").alias("high"),
-        (F.col("below") + F.col("before")).cast("bigint").alias("below"),
-        "name",
-        "rank",
+    return (
+        state.join(counted, bracket)
+        .where((rest >= 1) & (rest <= F.col("c")))
+        .withColumn("below", (F.col("below") + F.col("before")).cast("bigint"))
+        .withColumn("low", F.col("first"))
+        .withColumn("high", F.col("last"))
     )
 
 

@@ -77,6 +77,8 @@ def ols_from_cross(cross: np.ndarray, names: list[str], n: int, label: str = "ol
     total = cross[p_all, p_all]
     rss = max(total - beta @ cross[kept, p_all], 0.0)
     p = len(kept)
+    if n <= p:
+        raise ValueError(f"{n} rows are too few for {p} coefficients (stratum {stratum!r})")
     mean = cross[0, p_all] / n
     tss = total - n * mean * mean
     sigma2 = rss / (n - p)

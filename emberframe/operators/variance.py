@@ -23,6 +23,7 @@ from .solve import Fit, estimable
 from .sums import packed, sum_blocks, unpacked
 
 STEP_LIMIT = 0.5
+LOG_WEIGHT_LIMIT = 600.0  # keeps weights finite; such a trial loses on likelihood anyway
 DELTA_LIMIT = 10.0
 LOG_RATIO = (-23.0, 23.0)
 
@@ -108,7 +109,7 @@ def _weighted_pass(df, response, expansion, covariates, keys, by_stratum, active
         for ticket, (at, delta) in wanted.items():
             v = rows[:, [width + i for i in at]]
             log_w = -2.0 * (v @ delta) if at else np.zeros(len(rows))
-            w = np.exp(log_w)
+            w = np.exp(np.clip(log_w, -LOG_WEIGHT_LIMIT, LOG_WEIGHT_LIMIT))
             tail = np.concatenate([[len(rows), log_w.sum()], v.sum(axis=0)])
             yield f"{ticket}|", np.concatenate([packed(z.T @ (w[:, None] * z)), tail])
             for j in range(len(at)):
@@ -190,6 +191,8 @@ class _Surface:
 
     def loglik(self, h: np.ndarray, tau: float) -> float:
         matrix, log_v = self.combined(h, tau)
+        if not np.isfinite(matrix).all():
+            return -math.inf
         try:
             root = np.linalg.cholesky(matrix)
         except np.linalg.LinAlgError:
@@ -263,6 +266,8 @@ def _advance(s: _Search, assembled, random: bool, tolerance: float) -> None:
         total = cross[:, 0].sum(axis=0)
         s.state["kept"] = estimable(total[:p, :p])
         s.state["unweighted"] = total  # the first pass has delta = 0
+        if tails[:, 0].sum() <= len(s.state["kept"]):
+            raise ValueError(f"{s.label}: too few rows for its coefficients (stratum {s.stratum!r})")
     surface = _Surface(cross, tails, s.state["kept"], s.model.reml)
     log_tau = surface.best_log_tau() if random else -math.inf
     tau = math.exp(log_tau) if math.isfinite(log_tau) else 0.0

@@ -13,8 +13,9 @@ def csv_table(spark: SparkSession, path: str | list[str], columns: dict[str, str
     """Read columns by header name, whatever their order in the file.
 
     Only the header line is looked at for the schema, so no inference pass.
+    Files read together must agree on their header, or the read fails.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
     absent = [c for c in columns if c not in raw.columns]
     if absent:
         raise ValueError(f"columns not in the header: {absent}")

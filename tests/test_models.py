@@ -286,6 +286,29 @@ def test_gam_by_stratum_with_its_own_smooths(table):
     assert [s["term"] for s in fits["1"].smooths] == ["s(a)", "s(b)"]
 
 
+def test_gam_of_a_mostly_zero_driver(spark, frame):
+    pdf = frame.assign(z=np.where(np.arange(len(frame)) % 20 == 0, np.abs(frame.b), 0.0))
+    gam = fit_gam(spark.createDataFrame(pdf), "y", ["a", "z"], factor="d")[0]
+    assert len(gam.splines["z"].knots) == 10
+    assert all(0.9 < s["edf"] < 9 for s in gam.smooths)
+
+
+def test_too_few_rows_are_refused(spark, frame):
+    few = spark.createDataFrame(frame.head(8))
+    with pytest.raises(ValueError, match="too few"):
+        fit_ols(few, "y", {"q": TERMS})
+    with pytest.raises(ValueError, match="too few"):
+        fit_variance_models(few, "y", {"q": VarianceModel(TERMS, ("a",))})
+
+
+def test_extreme_variance_stays_finite(spark):
+    rng = np.random.default_rng(11)
+    a = rng.standard_t(2, 3000) * 3
+    pdf = pd.DataFrame({"a": a, "y": 1 + 0.1 * a + rng.normal(size=3000) * np.exp(0.2 * np.clip(a, -8, 8))})
+    f = fit_variance_models(spark.createDataFrame(pdf), "y", {"m": VarianceModel(model_terms(["a"], (), None), ("a",))})[0]
+    assert math.isfinite(f.loglik) and f.extra["delta_a"] > 0.05
+
+
 def test_spline_reproduces_lines_and_its_knots():
     s = Spline([0, 1, 3, 4, 8])
     x = np.linspace(0, 8, 33)
