@@ -294,7 +294,7 @@ def test_gam_of_a_mostly_zero_driver(spark, frame):
 
 
 def test_too_few_rows_are_refused(spark, frame):
-    few = spark.createDataFrame(frame.head(8))
+    few = spark.createDataFrame(frame.head(3))
     with pytest.raises(ValueError, match="too few"):
         fit_ols(few, "y", {"q": TERMS})
     with pytest.raises(ValueError, match="too few"):
