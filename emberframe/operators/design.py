@@ -99,12 +99,12 @@ class Expansion:
         self.drivers = sorted({b.driver for b in self.bases if b.power})
 
     def matrix(self, columns: np.ndarray) -> np.ndarray:
-        """(rows, bases) from a (rows, drivers) matrix."""
+        """(bases, rows) from a matrix whose first rows are the drivers."""
         at = {d: i for i, d in enumerate(self.drivers)}
-        out = np.ones((len(columns), len(self.bases)))
+        out = np.ones((len(self.bases), columns.shape[1]))
         for i, b in enumerate(self.bases):
             if b.power:
-                out[:, i] = columns[:, at[b.driver]] ** b.power
+                out[i] = columns[at[b.driver]] ** b.power
         return out
 
     def assemble(self, low: np.ndarray, high: np.ndarray, terms: Sequence[Term]) -> np.ndarray:

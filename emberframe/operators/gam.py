@@ -94,16 +94,16 @@ def fit_gam(
     keys = [stratum] if stratum else []
     values = [*drivers, *([factor] if factor else []), response]
 
-    def block(key, rows):
+    def block(key, columns):
         mine = splines.get(key[0] if stratum else "")
         if not mine:
             return
-        columns = [np.ones((len(rows), 1))]
+        parts = [np.ones((columns.shape[1], 1))]
         if factor:
-            columns.append(rows[:, [len(drivers)]])
-        columns += [s.basis(rows[:, drivers.index(d)]) for d, s in mine.items()]
-        columns.append(rows[:, [len(rows[0]) - 1]])
-        z = np.hstack(columns)
+            parts.append(columns[len(drivers)][:, None])
+        parts += [s.basis(columns[drivers.index(d)]) for d, s in mine.items()]
+        parts.append(columns[-1][:, None])
+        z = np.hstack(parts)
         yield "", packed(z.T @ z)
 
     fits = []

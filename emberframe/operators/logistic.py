@@ -63,19 +63,18 @@ def fit_logistic(
         for (s, label), r in active.items():
             plan.setdefault(s, {})[label] = expansion.level_coefficients(formulas[label], r["beta"])
 
-        def block(key, rows, plan=plan):
+        def block(key, columns, plan=plan):
             wanted = plan.get(key[0] if stratum else "")
             if not wanted:
                 return
-            x, y = expansion.matrix(rows[:, :width]), rows[:, width]
+            x, y = expansion.matrix(columns), columns[width]
             high = bool(factor) and float(key[-1]) == 1.0
             for label, levels in wanted.items():
-                eta = x @ levels[high]
+                eta = levels[high] @ x
                 mu = 1.0 / (1.0 + np.exp(-eta))
-                w = mu * (1.0 - mu)
                 deviance = 2.0 * np.logaddexp(0.0, np.where(y > 0.5, -eta, eta)).sum()
                 tail = [len(y), y.sum(), deviance, variance_distance(y, mu).sum()]
-                yield label, np.concatenate([packed(x.T @ (w[:, None] * x)), x.T @ (y - mu), tail])
+                yield label, np.concatenate([packed((x * (mu * (1.0 - mu))) @ x.T), x @ (y - mu), tail])
 
         sums = sum_blocks(df, keys, [*expansion.drivers, response], block)
         for (s, label), r in active.items():

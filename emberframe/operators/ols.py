@@ -37,9 +37,9 @@ def cross_products(
     keys = ([stratum] if stratum else []) + ([factor] if factor else [])
     width = len(expansion.drivers)
 
-    def block(key, rows):
-        z = np.column_stack([expansion.matrix(rows[:, :width]), rows[:, width]])
-        yield "", packed(z.T @ z)
+    def block(key, columns):
+        z = np.vstack([expansion.matrix(columns), columns[width]])
+        yield "", packed(z @ z.T)
 
     sums = sum_blocks(df, keys, [*expansion.drivers, response], block)
     size = len(expansion.bases) + 1

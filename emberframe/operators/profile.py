@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..functions.scalar import TRANSFORMS
 from ..lineage import broadcast_if_small, materialise
 from ..sources.tables import missing
 from .ranks import long_form, order_statistics, quantiles
+from .sums import sum_blocks
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -77,13 +79,30 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every ordered pair a < b by position, pairwise complete."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    )
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    """(a, b, r) for every pair, a before b; pairwise complete.
+
+    A pair uses the rows where both are known, so each pair has its own counts
+    and sums. Columns are centred first, which keeps the sums accurate.
+    """
+    centres = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in columns]).first()
+    centre = np.array([[centres[c] or 0.0] for c in columns])
+    k = len(columns)
+
+    def block(key, values):
+        known = ~np.isnan(values)
+        x = np.where(known, values - centre, 0.0)
+        both = known.astype(float)
+        sums = [both @ both.T, x @ both.T, (x * x) @ both.T, x @ x.T]
+        yield "", np.concatenate([m.ravel() for m in sums])
+
+    total = sum_blocks(df, [], columns, block).get((("",), ""), np.zeros(4 * k * k))
+    n, x, xx, xy = total.reshape(4, k, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (n * xy - x * x.T) / np.sqrt((n * xx - x * x) * (n * xx - x * x).T)
+    rows = [
+        (columns[i], columns[j], float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, j in combinations(range(k), 2)
+    ]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def collinear_pairs(df: DataFrame, columns: Sequence[str], above: float = 0.7) -> DataFrame:

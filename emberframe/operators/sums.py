@@ -26,8 +26,9 @@ def sum_blocks(
 ) -> dict[tuple[Key, str], np.ndarray]:
     """Add up the labelled vectors that ``block`` gives for the rows of each key.
 
-    ``block(key, rows)`` sees rows as a (rows, values) matrix and may be called
-    several times per key; its vectors must be sums over rows.
+    ``block(key, columns)`` sees the values as a (values, rows) matrix, missing
+    ones as NaN, and may be called several times per key; its vectors must be
+    sums over rows.
     """
     key = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     data = df.select(key.alias("key"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
@@ -47,14 +48,21 @@ def sum_blocks(
                 coded = coded.combine_chunks()
             names = coded.dictionary.to_pylist()
             codes = coded.indices.to_numpy(zero_copy_only=False)
-            matrix = np.empty((table.num_rows, width))
+            matrix = np.empty((width, table.num_rows))
             for i in range(width):
-                matrix[:, i] = table.column(i + 1).to_numpy()
-            order = np.argsort(codes, kind="stable")
-            ends = np.flatnonzero(np.diff(codes[order])) + 1
-            for part in np.split(order, ends):
-                name = names[codes[part[0]]]
-                for label, vector in block(tuple(name.split(SEPARATOR)), matrix[part]):
+                matrix[i] = table.column(i + 1).to_numpy()
+            if len(names) == 1:
+                parts = [(0, matrix)]
+            else:
+                codes = codes.astype(np.uint16) if len(names) < 65_536 else codes
+                order = np.argsort(codes, kind="stable")
+                matrix = matrix[:, order]
+                ends = np.flatnonzero(np.diff(codes[order])) + 1
+                starts = np.concatenate([[0], ends])
+                parts = [(codes[order[at]], matrix[:, at:end]) for at, end in zip(starts, [*ends, len(order)])]
+            for code, columns in parts:
+                name = names[code]
+                for label, vector in block(tuple(name.split(SEPARATOR)), columns):
                     if (name, label) in totals:
                         totals[name, label] += vector
                     else:

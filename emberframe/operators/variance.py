@@ -101,22 +101,22 @@ def _weighted_pass(df, response, expansion, covariates, keys, by_stratum, active
         s.state["ticket"] = _ticket(s)
         plan.setdefault(s.stratum, {})[s.state["ticket"]] = (at, s.delta.copy())
 
-    def block(key, rows):
+    def block(key, columns):
         wanted = plan.get(key[0] if by_stratum else "")
         if not wanted:
             return
-        z = np.column_stack([expansion.matrix(rows[:, :width]), rows[:, width + k_all]])
+        z = np.vstack([expansion.matrix(columns), columns[width + k_all]])
         for ticket, (at, delta) in wanted.items():
-            v = rows[:, [width + i for i in at]]
-            log_w = -2.0 * (v @ delta) if at else np.zeros(len(rows))
+            v = columns[[width + i for i in at]]
+            log_w = -2.0 * (delta @ v) if at else np.zeros(z.shape[1])
             w = np.exp(np.clip(log_w, -LOG_WEIGHT_LIMIT, LOG_WEIGHT_LIMIT))
-            tail = np.concatenate([[len(rows), log_w.sum()], v.sum(axis=0)])
-            yield f"{ticket}|", np.concatenate([packed(z.T @ (w[:, None] * z)), tail])
+            tail = np.concatenate([[z.shape[1], log_w.sum()], v.sum(axis=1)])
+            yield f"{ticket}|", np.concatenate([packed((z * w) @ z.T), tail])
             for j in range(len(at)):
-                wj = w * v[:, j]
-                yield f"{ticket}|{j}", packed(z.T @ (wj[:, None] * z))
+                zj = z * (w * v[j])
+                yield f"{ticket}|{j}", packed(zj @ z.T)
                 for l in range(j, len(at)):
-                    yield f"{ticket}|{j},{l}", packed(z.T @ ((wj * v[:, l])[:, None] * z))
+                    yield f"{ticket}|{j},{l}", packed((zj * v[l]) @ z.T)
 
     values = [*expansion.drivers, *covariates, response]
     return sum_blocks(df, keys, values, block)

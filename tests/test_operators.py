@@ -64,6 +64,18 @@ def test_histogram_bins_are_right_closed_and_whole(spark):
     assert all(r["N"] == 10 for r in rows[1:])
 
 
+def test_correlations_are_pairwise_complete(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3)) + 1e6
+    x[:, 2] = x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=500)
+    x[rng.random((500, 3)) < 0.2] = np.nan
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(k=3.0)
+    got = {(r.a, r.b): r.r for r in R.correlation_matrix(spark.createDataFrame(pdf), ["a", "b", "c", "k"]).collect()}
+    want = pdf.corr()
+    for (a, b), r in got.items():
+        assert r is None if "k" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
 def test_histogram_of_a_constant(spark):
     rows = R.histogram(spark.createDataFrame([(3.0,)] * 9, "v double"), ["v"]).collect()
     assert [r["N"] for r in rows] == [9] and rows[0]["lower"] <= 3.0 <= rows[0]["upper"]

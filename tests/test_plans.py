@@ -76,7 +76,7 @@ def test_rasterize_is_not_a_range_join(large):
 
 def test_profiles_are_single_passes(large):
     rows = X.observations(large, FOLDER)
-    for df in (R.zero_counts(rows, ["qty", "tax"]), R.value_range(rows, ["qty", "tax"]), R.correlation_matrix(rows, ["qty", "tax", "cents"])):
+    for df in (R.zero_counts(rows, ["qty", "tax"]), R.value_range(rows, ["qty", "tax"]), R.missing_counts(rows, ["qty", "tax"])):
         assert plan(df).count("FileScan") == 1
         assert "Join" not in plan(df)
 
