@@ -20,6 +20,7 @@ from ..lineage import materialise
 BINS = 4096
 MAX_PASSES = 400
 SMALL = 1_000_000  # brackets that may be broadcast
+SURVIVORS = 0.05  # share of the values that is worth writing out for the later passes
 GATHERED = 200_000  # values of one group that may be sorted as an array
 
 
@@ -56,7 +57,7 @@ def order_statistics(
         ),
         "sizes",
     )
-    largest, groups = sizes.agg(F.max("n"), F.count("n")).first()
+    largest, groups, rows = sizes.agg(F.max("n"), F.count("n"), F.sum("n")).first()
     if largest is None or largest <= gathered:
         lists = values.groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("_v"))
         picked = {name: F.element_at("_v", rank.cast("int")) for name, rank in ranks.items()}
@@ -71,19 +72,26 @@ def order_statistics(
     start = sizes.select(*group, F.col("low").alias("_lo"), F.col("high").alias("_hi"), F.lit(0).cast("bigint").alias("below"), wanted.alias("_w"))
     first = values.groupBy(*group, "_lo", "_hi", F.col("home").alias("bin")).agg(*_counted())
     state = _pick(start.select(*group, "_lo", "_hi", "below", "_w.name", "_w.rank"), first, [*group, "_lo", "_hi"])
-    state = state.select(*group, F.col("bin").alias("home"), "low", "high", "below", "name", "rank")
+    state = state.select(*group, F.col("bin").alias("home"), "low", "high", "below", "held", "name", "rank")
     solved = []
+    narrowed = False
     for _ in range(MAX_PASSES):
         state = materialise(state, "brackets")
         solved.append(state.where("low = high"))
         state = state.where("low < high")
         bracket = [*group, "home", "low", "high"]
-        open_brackets = state.select(*bracket).distinct()
-        left = open_brackets.count()
+        open_brackets = state.select(*bracket, "held").distinct()
+        left, held = open_brackets.agg(F.count("held"), F.sum("held")).first()
         if left == 0:
             break
+        open_brackets = open_brackets.drop("held")
         if left <= SMALL:
             open_brackets = F.broadcast(open_brackets)
+        if not narrowed and held <= SURVIVORS * rows:
+            # few values are still in question: the next passes read only these
+            survivors = values.join(open_brackets, [*group, "home"]).where("value >= low AND value <= high")
+            values = materialise(survivors.select(*group, "value", "home"), "survivors")
+            narrowed = True
         counted = (
             values.join(open_brackets, [*group, "home"])
             .where("value >= low AND value <= high")
@@ -93,7 +101,7 @@ def order_statistics(
         renamed = {"low": "_lo", "high": "_hi"}
         state = _pick(
             state.withColumnsRenamed(renamed), counted.withColumnsRenamed(renamed), [*group, "home", "_lo", "_hi"]
-        ).select(*group, "home", "low", "high", "below", "name", "rank")
+        ).select(*group, "home", "low", "high", "below", "held", "name", "rank")
     answers = reduce(DataFrame.unionByName, solved)
     wide = answers.groupBy(*group).pivot("name", list(ranks)).agg(F.first("low"))
     return sizes.join(wide, group)
@@ -121,6 +129,7 @@ def _pick(state: DataFrame, counted: DataFrame, bracket: list[str]) -> DataFrame
         .withColumn("below", (F.col("below") + F.col("before")).cast("bigint"))
         .withColumn("low", F.col("first"))
         .withColumn("high", F.col("last"))
+        .withColumn("held", F.col("c"))
     )
 
 
