@@ -56,22 +56,24 @@ def transposed_rows(spark, folder):
 @check(
     "SC5 GR3",
     f"""WITH {LONG}, m AS (SELECT CAST(2003 + layer // 12 AS INT) AS "Year", CAST(layer % 12 + 1 AS INT) AS "Month",
-  second AS col, first AS "row", value FROM long WHERE layer < 192)
+  second AS col, first AS "row", value FROM long)
 SELECT "Year", "Month", col, "row", {X8}, {Y8}, value FROM m""",
 )
 def month_matrix_rows(spark, folder):
-    """Month matrices to rows; layers past 2018 are dropped."""
-    months = G.layer_period(matrices(spark, folder), 2003, 2018).drop("layer")
+    """Month matrices to rows, on a timeline long enough for all of them."""
+    last = matrices(spark, folder).agg(F.max("layer")).first()[0]
+    months = G.layer_period(matrices(spark, folder), 2003, 2003 + last // 12).drop("layer")
     return slabs.matrix_points(months, SMALL).select("Year", "Month", "col", "row", "x", "y", "value")
 
 
 @check(
     "GR3",
-    """SELECT vec_id AS layer, CAST(2003 + vec_id // 12 AS INT) AS "Year", CAST(vec_id % 12 + 1 AS INT) AS "Month"
-FROM embeddings WHERE vec_id < 168""",
+    """SELECT vec_id, layer, CAST(2003 + layer // 12 AS INT) AS "Year", CAST(layer % 12 + 1 AS INT) AS "Month"
+FROM (SELECT vec_id, vec_id % 180 AS layer FROM embeddings) WHERE layer < 168""",
 )
 def layer_months(spark, folder):
-    named = table(spark, folder, "embeddings").select(F.col("vec_id").alias("layer"))
+    """A stack of 180 layers on a timeline of 168 months: layers past its end have no month."""
+    named = table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % 180).alias("layer"))
     return G.layer_period(named, 2003, 2016)
 
 

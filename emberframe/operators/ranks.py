@@ -21,7 +21,7 @@ BINS = 4096
 MAX_PASSES = 400
 SMALL = 1_000_000  # brackets that may be broadcast
 SURVIVORS = 0.05  # share of the values that is worth writing out for the later passes
-GATHERED = 200_000  # values of one group that may be sorted as an array
+GATHERED = 300_000  # values of one group that may be sorted as an array
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
