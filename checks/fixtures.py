@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.lineage import materialise, spread
-from emberframe.operators.grid import Grid, with_centres
+from emberframe.operators.grid import Grid
 from emberframe.plans.panel_build import PanelInputs
 
 GRID = Grid(-180.0, -174.0, 87.5, 90.0, 24, 10)
