@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, secrets, token_files
+from . import bpe, exact_dedup, language, secrets, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_language": language.op2_language,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_token_files": token_files.op8_token_files,
