@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, secrets, token_files, toxicity
+from . import bpe, exact_dedup, language, secrets, set_join, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_language": language.op2_language,
+    "op6_jaccard_join": set_join.op6_jaccard_join,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_token_files": token_files.op8_token_files,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op6_jaccard_join": set_join.op6_jaccard_join,
     "op7_secret_scan": secrets.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
