@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, secrets, set_join, token_files, toxicity
+from . import bpe, decontamination, exact_dedup, language, secrets, set_join, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_language": language.op2_language,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_jaccard_join": set_join.op6_jaccard_join,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_token_files": token_files.op8_token_files,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_jaccard_join": set_join.op6_jaccard_join,
     "op7_secret_scan": secrets.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
