@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, language, secrets, set_join, token_files, toxicity
+from . import bpe, decontamination, exact_dedup, language, secrets, set_join, token_files, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_language": language.op2_language,
+    "op3_warc": warc.op3_warc,
+    "op4_tool_calls": tool_calls.op4_tool_calls,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_jaccard_join": set_join.op6_jaccard_join,
     "op7_secret_scan": secrets.op7_secret_scan,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op4_tool_calls": tool_calls.OP4_SQL,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_jaccard_join": set_join.op6_jaccard_join,
     "op7_secret_scan": secrets.OP7_SQL,
