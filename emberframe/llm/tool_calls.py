@@ -85,7 +85,7 @@ def link(messages: DataFrame) -> DataFrame:
 
 def ordered(linked: DataFrame) -> DataFrame:
     """(conv, turn, order_turn, depth, cyclic) of each message, by pointer doubling."""
-    now = stored(linked.select("conv", "turn", F.col("parent").alias("at"), F.col("turn").alias("latest"), F.lit(0).alias("steps")), "tool-order")
+    now = stored(linked.select("conv", "turn", F.col("parent").alias("at"), F.col("turn").alias("latest"), F.col("parent").isNotNull().cast("int").alias("steps")), "tool-order")
     longest = now.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
     # After k rounds a pointer is 2**k steps long; past the longest conversation only cycles are left.
@@ -98,7 +98,7 @@ def ordered(linked: DataFrame) -> DataFrame:
                 "turn",
                 F.col("next").alias("at"),
                 F.greatest("latest", "more").alias("latest"),
-                (F.col("steps") + F.when(F.col("at").isNull(), 0).otherwise(F.col("further") + reach)).alias("steps"),
+                (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
             ),
             "tool-order",
         )
