@@ -44,9 +44,11 @@ from .words import slices
 MOST_SMALL = 40
 #: An n-gram of so many texts among the first ones is heavy; at most HEAVY_KEPT
 #: of them, the heaviest, are ordered last. Both change the work, not the result.
-HEAVY_FROM, HEAVY_KEPT = 16, 500_000
+HEAVY_FROM, HEAVY_KEPT = 4, 2_000_000
 #: Coarse counts of a set.
 COUNTERS = 64
+#: Members of a list that are compared as one block.
+BLOCK = 2000
 #: Ids are sent to all tasks only if there are at most so many.
 FEW_IDS = 1_000_000
 
@@ -103,8 +105,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def heavy_grams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
-    """The heaviest n-grams among those that come first by hash, sorted."""
+def heavy_grams(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The heaviest n-grams among those that come first by hash, sorted, and their places by number, then hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,24 +116,29 @@ def heavy_grams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(number)], ["gram", "number"])
 
     counted = docs.select("text").mapInArrow(run, "gram long, number long").groupBy("gram").agg(F.sum("number").alias("number"))
-    heavy = counted.filter(F.col("number") >= HEAVY_FROM).orderBy(F.desc("number"), "gram").limit(HEAVY_KEPT).select("gram")
-    return np.sort(heavy.toArrow().column("gram").to_numpy().view(np.uint64))
+    heavy = counted.filter(F.col("number") >= HEAVY_FROM).orderBy(F.desc("number"), "gram").limit(HEAVY_KEPT).toArrow()
+    grams, number = heavy.column("gram").to_numpy().view(np.uint64), heavy.column("number").to_numpy()
+    order = np.argsort(grams)
+    place = np.empty(len(grams), np.int32)
+    place[np.lexsort((grams[order], number[order]))] = np.arange(len(grams), dtype=np.int32)
+    return grams[order], place
 
 
-def summaries(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
+def summaries(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, size, digest, firsts, whole, counts) of each text; whole: only of small sets."""
     heavy_of = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = heavy_of.value
+        heavy, place = heavy_of.value
         for batch in batches:
             done = 0
             for texts in slices(batch.column(1)):
                 rows: list[tuple] = []
                 for grams in gram_sets(texts, n):
                     if len(heavy):
-                        late = heavy[np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)] == grams
-                        ordered = np.concatenate([grams[~late], grams[late]])
+                        at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
+                        late = heavy[at] == grams
+                        ordered = np.concatenate([grams[~late], grams[late][np.argsort(place[at[late]])]])
                     else:
                         ordered = grams
                     firsts = ordered[: first_number(len(grams), percent)] if len(grams) else grams
@@ -278,6 +285,69 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return stored(both.mapInArrow(judge, "a long, b long"), "near-links")
 
 
+def pairs_within_lists(rows: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of one list that are in different components and not ruled out.
+
+    rows: (key, light, n, k, root, size, at, counts); n is the list's length.
+    Lists longer than BLOCK are cut into blocks, and each two blocks are one
+    unit of work, so that no task holds a whole long list. Units stand one
+    after another in a sorted partition; only pairs that pass leave the task.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("k"), blocks).cast("int")
+    cut = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    unit = ["key", "light", "low", "high"]
+    dealt = cut.repartition(*unit).sortWithinPartitions(*unit)
+    dealt = dealt.select(*unit, "own", "k", "root", "size", "at", "counts")
+
+    def compare(batch: pa.Table) -> pa.RecordBatch:
+        n = batch.num_rows
+        key, light, low, high, own, k, root, size, at = (batch.column(c).to_numpy() for c in range(9))
+        counts = np.frombuffer(b"".join(batch.column(9).to_pylist()), "<u2").reshape(n, COUNTERS)
+        size, light = size.astype(np.int64), light.astype(bool)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (light[1:] != light[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+        found = []
+        left, step = np.arange(n), 1
+        while len(left := left[left + step < ends[left]]):
+            i, j = left, left + step
+            total, smaller, larger = size[i] + size[j], np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            rest = np.minimum(size[i] - at[i], size[j] - at[j])
+            ok = (root[i] != root[j]) & (smaller * 100 >= larger * percent) & ((low[i] == high[i]) | (own[i] != own[j]))
+            ok &= light[i] | ((larger >= limit) & (rest * (100 + percent) >= total * percent))
+            i, j, total = i[ok], j[ok], total[ok]
+            if len(i):
+                full = (counts[i] == 65535).any(1) | (counts[j] == 65535).any(1)
+                common = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64)
+                ok = full | (common * (100 + percent) >= total * percent)
+                found.append(np.stack([np.minimum(k[i], k[j])[ok], np.maximum(k[i], k[j])[ok]]))
+            step += 1
+        both = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            # The last unit may go on in the next batch.
+            last = np.ones(table.num_rows, bool)
+            for c in range(4):
+                column = table.column(c).to_numpy()
+                last &= column == column[-1]
+            first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if first:
+                yield compare(table.slice(0, first))
+            held = table.slice(first)
+        if held is not None:
+            yield compare(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -314,13 +384,9 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     # Second round: members of one list that are still apart.
     placed = stored(members.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "near-placed")
-    apart = placed.groupBy("key", "light").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("key", "light")
-    open_rows = placed.join(apart, ["key", "light"], "left_semi")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    same_list = (F.col("x.key") == F.col("y.key")) & (F.col("x.light") == F.col("y.light"))
-    differ = (F.col("x.k") < F.col("y.k")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, same_list & differ & may_link("x", "y", limit, percent)).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
-    second_pairs = stored(by_counts(rest.join(first_pairs, ["a", "b"], "left_anti"), classes, percent), "near-pairs")
+    apart = placed.groupBy("key", "light").agg((F.min("root") < F.max("root")).alias("apart"), F.count(F.lit(1)).alias("n")).filter("apart")
+    open_rows = placed.join(apart.select("key", "light", "n"), ["key", "light"]).join(classes.select("k", "counts"), "k")
+    second_pairs = stored(pairs_within_lists(open_rows, limit, percent).join(first_pairs, ["a", "b"], "left_anti"), "near-pairs")
     joined = components(links.union(verified(second_pairs, texts, n, percent)))
 
     roots = stored(
