@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: How many words a worker remembers, twice over; a bound on memory that changes no result.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 
 # Unicode's white space, and what Arrow also takes for it.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -48,7 +48,7 @@ def raw_bytes(texts: pa.Array) -> bytes:
     return data.slice(int(ends[first]), int(ends[last] - ends[first])).to_pybytes()
 
 
-def slices(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
     """Runs of successive texts of about ``size`` bytes; a longer text stands alone."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
