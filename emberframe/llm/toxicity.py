@@ -33,8 +33,8 @@ from .shared import documents, held_out, id_share, may_learn
 from .words import Remembered, slices
 
 #: Learning rows of either label, and characters of each, at most.
-SAMPLE_ROWS = 2500
-SAMPLE_CHARACTERS = 6000
+SAMPLE_ROWS = 2000
+SAMPLE_CHARACTERS = 4000
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDED, ATTENDED = 6, 4, 6
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 20  # of evidence
@@ -248,7 +248,7 @@ def train_network(sample: Sample, seed: int = 7) -> Network:
     by_fold = [odds_without(k) for k in range(EVIDENCE_FOLDS)]
     first = [(t, a) for t, text in enumerate(sample.texts) for a in windows(len(text))]
     of_text = np.array([t for t, _ in first])
-    rows = np.full((len(first), WINDOW), -1)
+    rows = np.full((len(first), WINDOW), -1, np.int32)
     for row, (t, a) in zip(rows, first):
         part = sample.texts[t][a : a + WINDOW]
         row[: len(part)] = part
