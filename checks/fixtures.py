@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.lineage import materialise, spread
+from emberframe.lineage import materialise
 from emberframe.operators.grid import Grid
 from emberframe.plans.panel_build import PanelInputs
 
@@ -241,7 +241,7 @@ def model_rows(spark: SparkSession, folder: str) -> DataFrame:
         "l_quantity", "l_discount", "l_tax",
     )
     return (
-        spread(items, "l_orderkey", "l_linenumber")
+        items
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
@@ -265,7 +265,7 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with customer attributes, keyed by o_orderkey."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return (
-        spread(orders, "o_orderkey")
+        orders
         .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             "o_orderkey", "c_mktsegment", "o_orderstatus",

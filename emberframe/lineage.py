@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Sequence
+from functools import lru_cache, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,19 +46,8 @@ def materialise(df: DataFrame, label: str = "table", partition_by: tuple[str, ..
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Spread rows over all cores when they come from fewer files than that.
-
-    ``key`` should tell most rows apart: hashing it needs no sort and gives
-    the same partitions when a task is run again. Tables of many files pass
-    untouched, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if len(df.inputFiles()) < cores else df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` is at most ``max_rows``."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on group keys, in which a missing key is a group like any other."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"__{k}" for k in keys])

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import broadcast_if_small
+from ..lineage import materialise
 from .design import Term
 from .profile import histogram
 from .ranks import quantiles
@@ -123,7 +123,7 @@ def driver_profile(df: DataFrame, response: str, drivers: Sequence[str], bins: i
     long = df.select(F.col(response).cast("double").alias("_y"), F.explode(pairs).alias("_p")).select("_y", "_p.*")
     index = F.size(F.filter("_edges", lambda e: e < F.col("v")))
     return (
-        long.dropna().join(broadcast_if_small(edges), "variable")
+        long.dropna().join(materialise(edges, "edges"), "variable")
         .groupBy("variable", index.alias("bin"))
         .agg(
             F.count(F.lit(1)).alias("N"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import TRANSFORMS
-from ..lineage import broadcast_if_small, materialise
+from ..lineage import join_groups, materialise
 from ..sources.tables import missing
 from .ranks import long_form, order_statistics, quantiles
 from .sums import sum_blocks
@@ -158,9 +158,9 @@ def _binned(values: DataFrame, breaks: DataFrame, group: list[str]) -> DataFrame
     index = F.greatest(F.ceil((F.col("value") - F.col("start")) / F.col("step") - 1e-7), F.lit(1))
     # without keys there is one row of breaks per profiled column
     ends = breaks.select(*group, "start", "step")
-    ends = F.broadcast(ends) if group == ["variable"] else broadcast_if_small(materialise(ends, "breaks"))
+    ends = F.broadcast(ends) if group == ["variable"] else materialise(ends, "breaks")
     return (
-        values.join(ends, group)
+        join_groups(values, ends, group)
         .groupBy(*group, "start", "step", index.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("N"))
         .select(
@@ -227,12 +227,11 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str], reach: float = 1.5
     )
     spread = reach * (F.col("upper_hinge") - F.col("lower_hinge"))
     fenced = stats.withColumn("_lo", F.col("lower_hinge") - spread).withColumn("_hi", F.col("upper_hinge") + spread)
-    fenced = broadcast_if_small(materialise(fenced, "fences"))
+    fenced = materialise(fenced, "fences")
     v = F.col(value).cast("double")
     inside = v.between(F.col("_lo"), F.col("_hi"))
     return (
-        df.select(*keys, value).dropna(subset=[value])
-        .join(fenced, list(keys))
+        join_groups(df.select(*keys, value).dropna(subset=[value]), fenced, list(keys))
         .groupBy(*keys, "n", "lower_hinge", "median", "upper_hinge")
         .agg(
             F.min(F.when(inside, v)).alias("lower_whisker"),
@@ -252,7 +251,7 @@ def standardise(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}")]
     if by:
         spreads = materialise(df.groupBy(*by).agg(*aggs), "spreads")
-        wide = df.join(broadcast_if_small(spreads), list(by))
+        wide = join_groups(df, spreads, list(by))
     else:
         stats = df.agg(*aggs).first()
         wide = df.select("*", *[F.lit(stats[i]).cast("double").alias(i) for i in stats.asDict()])

@@ -15,13 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import materialise
+from ..lineage import join_groups, materialise
 
 BINS = 4096
 MAX_PASSES = 400
-SMALL = 1_000_000  # brackets that may be broadcast
-SURVIVORS = 0.05  # share of the values that is worth writing out for the later passes
-GATHERED = 300_000  # values of one group that may be sorted as an array
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -38,12 +35,11 @@ def order_statistics(
     columns: Sequence[str],
     ranks: Mapping[str, Column],
     bins: int = BINS,
-    gathered: int = GATHERED,
 ) -> DataFrame:
     """(keys..., variable, n, low, high, mean, sd, <one column per rank>).
 
     ``ranks`` maps an output name to a rank (from 1) as an expression of ``n``.
-    Group keys must not be null.
+    A missing group key is a group like any other.
     """
     values = long_form(df, keys, columns)
     group = [*keys, "variable"]
@@ -57,18 +53,11 @@ def order_statistics(
         ),
         "sizes",
     )
-    largest, groups, rows = sizes.agg(F.max("n"), F.count("n"), F.sum("n")).first()
-    if largest is None or largest <= gathered:
-        lists = values.groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("_v"))
-        picked = {name: F.element_at("_v", rank.cast("int")) for name, rank in ranks.items()}
-        return sizes.join(lists, group).select(*sizes.columns, *[v.alias(k) for k, v in picked.items()])
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]))
     ends = sizes.select(*group, F.col("low").alias("_lo"), F.col("high").alias("_hi"))
-    if groups <= SMALL:
-        ends = F.broadcast(ends)
     # the bin of the first pass stays with a value: later brackets lie inside one such bin
     home = _bin(F.col("_lo"), F.col("_hi"), bins).alias("home")
-    values = values.join(ends, group).select(*group, "value", "_lo", "_hi", home)
+    values = join_groups(values, ends, group).select(*group, "value", "_lo", "_hi", home)
     start = sizes.select(*group, F.col("low").alias("_lo"), F.col("high").alias("_hi"), F.lit(0).cast("bigint").alias("below"), wanted.alias("_w"))
     first = values.groupBy(*group, "_lo", "_hi", F.col("home").alias("bin")).agg(*_counted())
     state = _pick(start.select(*group, "_lo", "_hi", "below", "_w.name", "_w.rank"), first, [*group, "_lo", "_hi"])
@@ -81,19 +70,16 @@ def order_statistics(
         state = state.where("low < high")
         bracket = [*group, "home", "low", "high"]
         open_brackets = state.select(*bracket, "held").distinct()
-        left, held = open_brackets.agg(F.count("held"), F.sum("held")).first()
-        if left == 0:
+        if open_brackets.isEmpty():
             break
         open_brackets = open_brackets.drop("held")
-        if left <= SMALL:
-            open_brackets = F.broadcast(open_brackets)
-        if not narrowed and held <= SURVIVORS * rows:
+        if not narrowed:
             # few values are still in question: the next passes read only these
-            survivors = values.join(open_brackets, [*group, "home"]).where("value >= low AND value <= high")
+            survivors = join_groups(values, open_brackets, [*group, "home"]).where("value >= low AND value <= high")
             values = materialise(survivors.select(*group, "value", "home"), "survivors")
             narrowed = True
         counted = (
-            values.join(open_brackets, [*group, "home"])
+            join_groups(values, open_brackets, [*group, "home"])
             .where("value >= low AND value <= high")
             .groupBy(*bracket, _bin(F.col("low"), F.col("high"), bins).alias("bin"))
             .agg(*_counted())
@@ -102,9 +88,11 @@ def order_statistics(
         state = _pick(
             state.withColumnsRenamed(renamed), counted.withColumnsRenamed(renamed), [*group, "home", "_lo", "_hi"]
         ).select(*group, "home", "low", "high", "below", "held", "name", "rank")
+    else:
+        raise RuntimeError(f"ranks are still open after {MAX_PASSES} passes")
     answers = reduce(DataFrame.unionByName, solved)
     wide = answers.groupBy(*group).pivot("name", list(ranks)).agg(F.first("low"))
-    return sizes.join(wide, group)
+    return join_groups(sizes, wide, group)
 
 
 def _counted() -> list[Column]:
@@ -124,7 +112,7 @@ def _pick(state: DataFrame, counted: DataFrame, bracket: list[str]) -> DataFrame
     counted = counted.withColumn("before", F.coalesce(F.sum("c").over(running), F.lit(0)))
     rest = F.col("rank") - F.col("below") - F.col("before")
     return (
-        state.join(counted, bracket)
+        join_groups(state, counted, bracket)
         .where((rest >= 1) & (rest <= F.col("c")))
         .withColumn("below", (F.col("below") + F.col("before")).cast("bigint"))
         .withColumn("low", F.col("first"))

@@ -12,6 +12,7 @@ def local_session(cores: int | str = 8, app: str = "emberframe", memory: str = "
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.files.minPartitionNum", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")

@@ -16,8 +16,7 @@ from emberframe.sources import ascii_grid, polygons, tables
 # --- quantiles ---------------------------------------------------------------
 
 
-@pytest.mark.parametrize("gathered", [0, 10**9])
-def test_quantiles_of_skewed_groups(spark, gathered):
+def test_quantiles_of_skewed_groups(spark):
     rng = np.random.default_rng(1)
     hot = rng.lognormal(0, 3, 5000)
     parts = {"hot": hot, "tied": np.repeat([1.0, 1.0, 2.0, 7.5], 50), "one": np.array([4.25]), "neg": -rng.random(77) * 1e-9, "wide": np.array([-1e300, 0.0, 1e300, 5.0])}
@@ -25,7 +24,7 @@ def test_quantiles_of_skewed_groups(spark, gathered):
     df = spark.createDataFrame(pdf).repartition(6)
     n = F.col("n")
     ranks = {"lo": F.lit(1), "mid": F.ceil(n / 2), "late": F.greatest(F.floor(n * 0.9), F.lit(1)), "hi": n}
-    rows = {r["k"]: r for r in order_statistics(df, ["k"], ["v"], ranks, bins=16, gathered=gathered).collect()}
+    rows = {r["k"]: r for r in order_statistics(df, ["k"], ["v"], ranks, bins=16).collect()}
     for k, vs in parts.items():
         s, m = np.sort(vs), len(vs)
         assert rows[k]["n"] == m
@@ -33,14 +32,20 @@ def test_quantiles_of_skewed_groups(spark, gathered):
         assert [rows[k][c] for c in ("lo", "mid", "late", "hi")] == want
 
 
-@pytest.mark.parametrize("gathered", [0, 10**9])
-def test_quantiles_ignore_missing(spark, gathered, monkeypatch):
-    monkeypatch.setattr("emberframe.operators.ranks.GATHERED", gathered)
+def test_quantiles_ignore_missing(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,), (10.0,)], "v double")
     row = quantiles(df, [], ["v"], {"q1": 0.25, "median": 0.5}).first()
     assert (row["n"], row["q1"], row["median"]) == (3, 2.0, 3.0)
 
 
+def test_a_missing_group_key_is_a_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 10.0), (None, 14.0)], "k string, v double")
+    assert {r["k"]: r["median"] for r in quantiles(df, ["k"], ["v"], {"median": 0.5}).collect()} == {"a": 2.0, None: 12.0}
+    assert R.standardise(df, ["v"], ["k"]).count() == 4
+    assert R.box_stats(df, "v", ["k"]).count() == 2
+    assert R.histogram(df, ["v"], ["k"]).agg(F.sum("N")).first()[0] == 4
+
+
 # --- profiles ----------------------------------------------------------------
 
 
