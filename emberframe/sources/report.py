@@ -97,7 +97,10 @@ def gam_tables(spark: SparkSession, fits: Sequence[GamFit]) -> tuple[DataFrame,
 
 
 def save_fits(spark: SparkSession, fits: Sequence[Fit], folder: str, response: str) -> None:
-    """Coefficients, quality and covariance as Parquet under response, kind and stratum."""
+    """Coefficients, quality and covariance as Parquet under response, kind, stratum and label.
+
+    Saving a fit again replaces what was saved for it, so a rerun loads once.
+    """
     covariance = [
         (f.stratum, f.label, f.kind, f.names, [float(v) for v in np.ravel(f.covariance)]) for f in fits
     ]
@@ -109,9 +112,13 @@ def save_fits(spark: SparkSession, fits: Sequence[Fit], folder: str, response: s
         ),
     }
     for name, table in tables.items():
-        table.withColumn("response", F.lit(response)).write.partitionBy("response", "kind", "stratum").mode(
-            "append"
-        ).parquet(f"{folder}/{name}")
+        (
+            table.withColumn("response", F.lit(response))
+            .write.partitionBy("response", "kind", "stratum", "label")
+            .option("partitionOverwriteMode", "dynamic")
+            .mode("overwrite")
+            .parquet(f"{folder}/{name}")
+        )
 
 
 def load_fits(spark: SparkSession, folder: str, response: str) -> list[Fit]:
@@ -133,6 +140,8 @@ def load_fits(spark: SparkSession, folder: str, response: str) -> list[Fit]:
         c = covariances[key(r)]
         p = len(c["terms"])
         ordered = sorted(betas[key(r)], key=lambda b: b["place"])
+        if len(ordered) != p:
+            raise ValueError(f"{key(r)}: {len(ordered)} coefficients for {p} terms")
         fits.append(
             Fit(
                 r["label"], r["stratum"] or "", r["kind"], c["terms"], np.array([b["estimate"] for b in ordered]),
