@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: How many words a worker remembers, twice over; a bound on memory that changes no result.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 220_000
 
 # Unicode's white space, and what Arrow also takes for it.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
