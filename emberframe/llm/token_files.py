@@ -15,9 +15,11 @@ their texts differ, then in order of text.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from .words import Remembered, slices, split_words
 
 #: Stands after the ids of each document.
 END_ID = 1
+#: Words that the library gets as one text.
+WORDS_AT_ONCE = 200
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -41,6 +45,7 @@ class LibraryEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,8 +62,10 @@ class LibraryEncoder:
         mark, mark_id = next(iter(self.marks.items()))
         opening = mark[:2]
         plain = [w for w in fresh if opening not in w]
-        # A special token between words keeps their ids apart in one call.
-        ids = self.ids_of(mark.join(["", *plain, ""]))
+        # A special token between words keeps their ids apart; this call works out no offsets.
+        joined = [mark.join(["", *plain[i : i + WORDS_AT_ONCE]]) for i in range(0, len(plain), WORDS_AT_ONCE)]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([*joined, mark], add_special_tokens=False)]
+        ids = np.array(list(chain.from_iterable(lists)), np.int32)
         cuts = np.flatnonzero(ids == mark_id)
         raw = ids.tobytes()
         known = self.known[0]
