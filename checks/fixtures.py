@@ -6,7 +6,6 @@ Cells are ``l_partkey % 24`` by ``l_suppkey % 10``. Values are whole numbers
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +54,7 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").alias("qty"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"),
+        F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"),
         F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"),
     )
@@ -63,66 +63,68 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 OBS = """obs AS (SELECT CAST(l_partkey % 24 AS INT) AS col, CAST(l_suppkey % 10 AS INT) AS "row",
   CAST(year(l_shipdate) AS INT) AS "Year", CAST(month(l_shipdate) AS INT) AS "Month", l_linenumber AS line,
   l_quantity AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_tax * 100) AS BIGINT) AS tax,
+  CAST(round(l_discount * 100) AS BIGINT) AS disc,
   l_returnflag AS flag, l_linestatus AS status FROM lineitem)"""
 
 XY = """CAST(-180.0 + (col + 0.5) * 0.25 AS DOUBLE) AS x, CAST(90.0 - ("row" + 0.5) * 0.25 AS DOUBLE) AS y"""
 KEY = """col, "row", "Year", "Month\""""
 
-# Monthly layers: name -> (aggregate, row filter), valid in Spark and DuckDB alike.
+EMPTIED = 23
+"""One in so many values of a layer is left empty, by what its cell-month adds up to."""
+
+# Monthly layers, valid in Spark and DuckDB alike. Each reads every row.
+AGGREGATES = {
+    "TMax": "avg(qty)",
+    "DTR": "max(qty) - min(qty) + avg(tax)",
+    "NrWetDays": "avg(disc)",
+    "PET": "max(qty)",
+    "Precipitation": "avg(cents)",
+    "RoadDensity": "sum(tax)",
+    "DistUrbPop": "min(cents)",
+    "LAI": "min(CASE WHEN disc <= 8 THEN qty END)",
+    "fPAR": "max(CASE WHEN disc >= 2 THEN cents END)",
+    "LC_TreeBE": "avg(CASE WHEN disc <= 1 THEN tax END)",
+    "LC_TreeNE": "avg(CASE WHEN disc IN (2, 3) THEN tax END)",
+    "LC_TreeBD": "avg(CASE WHEN disc IN (4, 5) THEN tax END)",
+    "LC_TreeND": "avg(CASE WHEN disc IN (6, 7) THEN tax END)",
+    "LC_ShrubBE": "avg(CASE WHEN disc IN (4, 5) THEN qty END)",
+    "LC_ShrubNE": "avg(CASE WHEN disc IN (6, 7) THEN qty END)",
+    "LC_ShrubBD": "avg(CASE WHEN disc >= 8 THEN qty END)",
+    "LC_Crop": "avg(CASE WHEN disc >= 8 THEN tax END)",
+    "LC_Herbs": "max(CASE WHEN disc >= 9 THEN tax END)",
+    "LC_Bare": "min(CASE WHEN disc IN (3, 4) THEN tax END)",
+    "Size": "sum(CASE WHEN flag = 'R' THEN cents END)",
+    "Duration": "sum(CASE WHEN flag IN ('R', 'A') THEN qty END)",
+    "Ignitions": "nullif(sum(CASE WHEN status = 'O' THEN 1 ELSE 0 END), 0)",
+    "BurnedFraction": "max(tax)",
+    "Emissions": "sum(tax)",
+}
 MONTHLY = {
-    "TMax": ("avg(qty)", "line <> 1"),
-    "DTR": ("CAST(max(qty) - min(qty) + avg(tax) AS DOUBLE)", "line <> 2"),
-    "NrWetDays": ("CAST(avg(tax) AS DOUBLE)", "line <> 3"),
-    "PET": ("CAST(max(qty) AS DOUBLE)", "line <> 4"),
-    "Precipitation": ("CAST(avg(cents) AS DOUBLE)", "line <> 5"),
-    "RoadDensity": ("CAST(sum(tax) AS DOUBLE)", "line <> 6"),
-    "DistUrbPop": ("CAST(min(cents) AS DOUBLE)", "line <> 7"),
-    "LAI": ("CAST(min(qty) AS DOUBLE)", "line <= 6"),
-    "fPAR": ("CAST(max(cents) AS DOUBLE)", "line >= 2"),
-    "LC_TreeBE": ("CAST(avg(tax) AS DOUBLE)", "line = 1"),
-    "LC_TreeNE": ("CAST(avg(tax) AS DOUBLE)", "line = 2"),
-    "LC_TreeBD": ("CAST(avg(tax) AS DOUBLE)", "line = 3"),
-    "LC_TreeND": ("CAST(avg(tax) AS DOUBLE)", "line = 4"),
-    "LC_ShrubBE": ("CAST(avg(qty) AS DOUBLE)", "line = 3"),
-    "LC_ShrubNE": ("CAST(avg(qty) AS DOUBLE)", "line = 4"),
-    "LC_ShrubBD": ("CAST(avg(qty) AS DOUBLE)", "line = 5"),
-    "LC_Crop": ("CAST(avg(tax) AS DOUBLE)", "line = 6"),
-    "LC_Herbs": ("CAST(max(tax) AS DOUBLE)", "line = 7"),
-    "LC_Bare": ("CAST(min(tax) AS DOUBLE)", "line = 5"),
-    "Size": ("CAST(sum(cents) AS DOUBLE)", "flag = 'R'"),
-    "Duration": ("CAST(sum(qty) AS DOUBLE)", "flag IN ('R', 'A')"),
-    "Ignitions": ("CAST(count(*) AS DOUBLE)", "status = 'O'"),
-    "BurnedFraction": ("CAST(max(tax) AS DOUBLE)", "status = 'F' OR line <= 3"),
-    "Emissions": ("CAST(sum(tax) AS DOUBLE)", "status = 'F' OR line >= 3"),
+    name: f"CASE WHEN sum(cents) % {EMPTIED} = {k % EMPTIED} THEN NULL ELSE CAST({aggregate} AS DOUBLE) END"
+    for k, (name, aggregate) in enumerate(AGGREGATES.items())
 }
 
 
 def monthly(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    aggregate, rows = MONTHLY[name]
-    return (
-        observations(spark, folder).where(rows).groupBy("col", "row", "Year", "Month").agg(F.expr(aggregate).alias(name))
-    )
-
-
-def _filtered(name: str) -> str:
-    """The aggregate over the layer's own rows only; null where it has none."""
-    aggregate, rows = MONTHLY[name]
-    for f in ("avg", "sum", "min", "max", "count"):
-        aggregate = re.sub(rf"\b{f}\(([^()]*)\)", rf"{f}(\1) FILTER (WHERE {rows})", aggregate)
-    return f"nullif({aggregate}, 0)" if "count" in aggregate else aggregate
+    layer = observations(spark, folder).groupBy("col", "row", "Year", "Month").agg(F.expr(MONTHLY[name]).alias(name))
+    return layer.dropna(subset=[name])
 
 
 def monthly_sql(name: str) -> str:
-    aggregate, rows = MONTHLY[name]
-    return f'm_{name} AS (SELECT {KEY}, {aggregate} AS "{name}" FROM obs WHERE {rows} GROUP BY ALL)'
+    return f"""m_{name} AS (SELECT * FROM (SELECT {KEY}, {MONTHLY[name]} AS "{name}" FROM obs GROUP BY {KEY})
+  WHERE "{name}" IS NOT NULL)"""
 
 
 def population(spark: SparkSession, folder: str) -> DataFrame:
     """Yearly layer."""
-    return observations(spark, folder).where("line = 1").groupBy("col", "row", "Year").agg(F.avg("tax").alias("PopDensity"))
+    layer = observations(spark, folder).groupBy("col", "row", "Year").agg(
+        F.avg("tax").alias("PopDensity"), F.sum("cents").alias("all")
+    )
+    return layer.where(F.col("all") % EMPTIED != 0).drop("all")
 
 
-POPULATION = """m_pop AS (SELECT col, "row", "Year", avg(tax) AS "PopDensity" FROM obs WHERE line = 1 GROUP BY ALL)"""
+POPULATION = f"""m_pop AS (SELECT col, "row", "Year", avg(tax) AS "PopDensity" FROM obs GROUP BY ALL
+  HAVING sum(cents) % {EMPTIED} <> 0)"""
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,7 +163,7 @@ def codes_sql(name: str, first: int, labels: tuple[str, ...], code: str, text: s
 def all_monthly(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Every monthly layer, aggregated in one pass and written before use."""
     wide = observations(spark, folder).groupBy("col", "row", "Year", "Month").agg(
-        *[F.expr(_filtered(n)).alias(n) for n in MONTHLY]
+        *[F.expr(aggregate).alias(n) for n, aggregate in MONTHLY.items()]
     )
     wide = materialise(wide, "layers")
     return {n: wide.select("col", "row", "Year", "Month", n).dropna(subset=[n]) for n in MONTHLY}

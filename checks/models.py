@@ -418,7 +418,7 @@ def duration_models(spark, folder):
     """Every model of fire duration in every biome."""
     panel = materialise(full_panel(spark, folder), "panel")
     results = run_response(panel, "Duration")
-    return report.quality_table(spark, results.fits).drop("aliased", "extra")
+    return report.quality_table(spark, results.fits, results.skipped).drop("aliased", "extra")
 
 
 @check("ML24 ML14 ML15 ML16")

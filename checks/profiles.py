@@ -86,7 +86,7 @@ def category_frequency(spark, folder):
     return R.frequency(table(spark, folder, "lineitem"), "l_linestatus")
 
 
-@check("AG9", with_sql(OBS) + """SELECT count(*) AS rows, CAST(10 AS INT) AS columns FROM obs""")
+@check("AG9", with_sql(OBS) + """SELECT count(*) AS rows, CAST(11 AS INT) AS columns FROM obs""")
 def table_shape(spark, folder):
     return R.shape(observations(spark, folder))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.tails import f_upper, t_two_sided
 from .ranks import quantiles
-from .sums import packed, sum_blocks, unpacked
+from .sums import key_text, packed, sum_blocks, unpacked
 
 KNOTS = 10
 LOG_LAMBDA = (-16.0, 20.0)
@@ -116,10 +116,11 @@ def fit_gam(
 
 def _splines(df, drivers, stratum, knots, per_stratum) -> dict[str, dict[str, Spline]]:
     levels = {f"k{i}": i / (knots - 1) for i in range(knots)}
-    table = quantiles(df, [stratum] if stratum else [], drivers, levels).collect()
+    table = quantiles(df, [stratum] if stratum else [], drivers, levels)
+    table = (table.withColumn(stratum, key_text(stratum)) if stratum else table).collect()
     out: dict[str, dict[str, Spline]] = {}
     for row in sorted(table, key=lambda r: drivers.index(r["variable"])):
-        name = str(row[stratum]) if stratum else ""
+        name = row[stratum] if stratum else ""
         if per_stratum is not None and row["variable"] not in per_stratum.get(name, ()):
             continue
         out.setdefault(name, {})[row["variable"]] = Spline(_spaced([row[k] for k in levels]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from .design import Expansion, Term
 from .ols import _factor
 from .solve import Fit, estimable
-from .sums import packed, sum_blocks, unpacked
+from .sums import packed, strata_of, sum_blocks, unpacked
 
 
 def variance_distance(a, b):
@@ -42,8 +42,7 @@ def fit_logistic(
     keys = [k for k in (stratum, factor) if k]
     width = len(expansion.drivers)
     if only is None:
-        names = [str(r[0]) for r in df.select(stratum).distinct().collect()] if stratum else [""]
-        only = {s: list(formulas) for s in names}
+        only = {s: list(formulas) for s in strata_of(df, stratum)}
     runs = {
         (s, label): {
             "beta": np.zeros(len(formulas[label])),

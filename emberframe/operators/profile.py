@@ -244,8 +244,13 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str], reach: float = 1.5
 # --- standardising -----------------------------------------------------------
 
 
-def standardise(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(x - mean) / sample sd, within each stratum of ``by``; a constant column fails."""
+def standardise(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), constant: float | None = None
+) -> DataFrame:
+    """(x - mean) / sample sd, within each stratum of ``by``.
+
+    A column that is constant in a stratum fails, or becomes ``constant`` there.
+    """
     aggs = []
     for c in columns:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}")]
@@ -257,7 +262,7 @@ def standardise(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
         wide = df.select("*", *[F.lit(stats[i]).cast("double").alias(i) for i in stats.asDict()])
     scaled = {
         c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(
-            F.raise_error(F.lit(f"{c} is constant")).cast("double")
+            F.raise_error(F.lit(f"{c} is constant")).cast("double") if constant is None else F.lit(constant)
         )
         for c in columns
     }

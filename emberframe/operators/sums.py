@@ -10,17 +10,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "\x1f"
 BLOCK_ROWS = 65_536
 HELD_NUMBERS = 16_000_000  # 128 MB of running totals per task
+TASKS_ADDED = 256  # neighbouring tasks whose sums meet in the first step
+MISSING = "<missing>"
 
 Key = tuple[str, ...]
 Block = Callable[[Key, np.ndarray], Iterable[tuple[str, np.ndarray]]]
 
 
+def key_text(name: str) -> Column:
+    """The one text by which all model families name a stratum or group; a missing key has its own."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+
+
+def strata_of(df: DataFrame, stratum: str | None) -> list[str]:
+    """Names of the strata; one empty name without a stratum column."""
+    return sorted(r[0] for r in df.select(key_text(stratum)).distinct().collect()) if stratum else [""]
+
+
 def sum_blocks(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], block: Block
 ) -> dict[tuple[Key, str], np.ndarray]:
@@ -30,7 +42,7 @@ def sum_blocks(
     ones as NaN, and may be called several times per key; its vectors must be
     sums over rows.
     """
-    key = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    key = F.concat_ws(SEPARATOR, *[key_text(k) for k in keys])
     data = df.select(key.alias("key"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
     width = len(values)
 
@@ -85,10 +97,12 @@ def sum_blocks(
             reduce_held()
         yield from _batches(totals)
 
-    # one short row per task, key and label; added up where it lands, as it streams in
+    # one short row per task, key and label; added up in two steps, so that the
+    # single key of an unstratified model is not added by one task alone
     schema = "key string, label string, sums array<double>"
-    partial = data.mapInArrow(partial_sums, schema).repartition("key", "label")
-    total = partial.mapInArrow(_add_up, schema).toArrow()
+    some = F.floor(F.spark_partition_id() / TASKS_ADDED)
+    partial = data.mapInArrow(partial_sums, schema).repartition("key", "label", some)
+    total = partial.mapInArrow(_add_up, schema).repartition("key", "label").mapInArrow(_add_up, schema).toArrow()
     out = {}
     for k, label, vector in zip(*[total.column(i).to_pylist() for i in range(2)], _vectors(total.column(2))):
         if np.isnan(vector).any():

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from .design import Expansion, Term
 from .ols import _factor
 from .solve import Fit, estimable
-from .sums import packed, sum_blocks, unpacked
+from .sums import packed, strata_of, sum_blocks, unpacked
 
 STEP_LIMIT = 0.5
-LOG_WEIGHT_LIMIT = 600.0  # keeps weights finite; such a trial loses on likelihood anyway
+LOG_WEIGHT_LIMIT = 600.0  # a trial that gives any row more is rejected, and its step halved
 DELTA_LIMIT = 10.0
 LOG_RATIO = (-23.0, 23.0)
 
@@ -71,8 +71,7 @@ def fit_variance_models(
     factor = _factor([m.terms for m in models.values()])
     covariates = sorted({c for m in models.values() for c in m.covariates})
     if only is None:
-        names = [str(r[0]) for r in df.select(stratum).distinct().collect()] if stratum else [""]
-        only = {s: list(models) for s in names}
+        only = {s: list(models) for s in strata_of(df, stratum)}
     searches = [
         _Search(models[label], label, s, np.zeros(len(models[label].covariates)), np.zeros(len(models[label].covariates)))
         for s, labels in sorted(only.items())
@@ -110,7 +109,8 @@ def _weighted_pass(df, response, expansion, covariates, keys, by_stratum, active
             v = columns[[width + i for i in at]]
             log_w = -2.0 * (delta @ v) if at else np.zeros(z.shape[1])
             w = np.exp(np.clip(log_w, -LOG_WEIGHT_LIMIT, LOG_WEIGHT_LIMIT))
-            tail = np.concatenate([[z.shape[1], log_w.sum()], v.sum(axis=1)])
+            total = log_w.sum() if np.abs(log_w).max() <= LOG_WEIGHT_LIMIT else -math.inf
+            tail = np.concatenate([[z.shape[1], total], v.sum(axis=1)])
             yield f"{ticket}|", np.concatenate([packed((z * w) @ z.T), tail])
             for j in range(len(at)):
                 zj = z * (w * v[j])

@@ -61,6 +61,10 @@ class FireModel:
     def drivers(self) -> tuple[str, ...]:
         return tuple(d for d in DRIVERS if d not in self.without)
 
+    def columns(self) -> set[str]:
+        """Scaled columns that any of its formulas or variance functions uses."""
+        return {*self.drivers, *(c for v in self.variances for c in split_sum(v))}
+
     def linear(self) -> tuple[Term, ...]:
         return model_terms(self.drivers, (), DUMMY)
 

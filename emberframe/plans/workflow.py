@@ -32,26 +32,29 @@ class Results:
     fits: list[Fit] = field(default_factory=list)
     gams: list[GamFit] = field(default_factory=list)
     paths: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
-    skipped: dict[str, int] = field(default_factory=dict)
+    skipped: dict[str, tuple[int, str]] = field(default_factory=dict)  # rows, reason
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
-        out = {"coefficients": coefficient_table(spark, self.fits), "quality": quality_table(spark, self.fits)}
+        out = {"coefficients": coefficient_table(spark, self.fits), "quality": quality_table(spark, self.fits, self.skipped)}
         if self.gams:
             out["gam_parametric"], out["gam_smooth"], out["gam_basis"] = gam_tables(spark, self.gams)
         return out
 
     def write(self, spark: SparkSession, folder: str) -> None:
+        """Parquet under response, stratum and model; writing again replaces what was written."""
         for name, table in self.tables(spark).items():
-            table.withColumn("response", F.lit(self.response)).write.partitionBy("response", "stratum").mode(
-                "append"
-            ).parquet(f"{folder}/{name}")
-
-
-def model_table(panel: DataFrame, models: Sequence[FireModel], by_factor: str = "IDL_Layer") -> DataFrame:
-    """Rows and columns the models of one response need, transformed and scaled.
-
-    Written once, because every later step reads it again.
-    """
+            by = ["response", "stratum", *(["label"] if "label" in table.columns else [])]
+            (
+                table.withColumn("response", F.lit(self.response))
+                .write.partitionBy(*by)
+                .option("partitionOverwriteMode", "dynamic")
+                .mode("overwrite")
+                .parquet(f"{folder}/{name}")
+            )
+
+
+def model_rows(panel: DataFrame, models: Sequence[FireModel], by_factor: str = "IDL_Layer") -> DataFrame:
+    """Rows and columns the models of one response need, transformed, not yet scaled."""
     response = models[0].response
     rows = panel if response == "Fire" else fire_presence(panel)
     rows = stratum(not_bare(rows), None).where(F.col("Biomes").isin([m.biome for m in models]))
@@ -69,30 +72,62 @@ def model_table(panel: DataFrame, models: Sequence[FireModel], by_factor: str =
         .drop("PopDensity", "RoadDensity")
     )
     keep = ["col", "row", "Year", "Month", "Biomes", "GFED_Regions", "Continent", by_factor, response, *SCALED]
-    rows = materialise(rows.select(*keep), "model-rows")
+    return materialise(rows.select(*keep), "model-rows")
+
+
+def unfit_strata(rows: DataFrame, models: Sequence[FireModel], by_factor: str = "IDL_Layer") -> dict[str, tuple[int, str]]:
+    """Rows and reason of each biome whose model cannot be fitted."""
+    measured = rows.groupBy("Biomes").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.min(by_factor) < F.max(by_factor)).alias("two_levels"),
+        *[F.stddev_samp(c).alias(c) for c in SCALED],
+    )
+    by_biome = {r["Biomes"]: r for r in measured.collect()}  # one row per biome
+    out: dict[str, tuple[int, str]] = {}
+    for m in models:
+        r = by_biome.get(m.biome)
+        n = r["n"] if r else 0
+        if n <= len(m.full()) + 2:
+            out[str(m.biome)] = (n, f"too few rows for {len(m.full())} coefficients")
+        elif not r["two_levels"]:
+            out[str(m.biome)] = (n, f"{by_factor} has one level")
+        elif constant := [c for c in SCALED if c in m.columns() and not r[c] > 0]:
+            out[str(m.biome)] = (n, f"{', '.join(constant)} constant")
+    return out
+
+
+def scaled_rows(rows: DataFrame, models: Sequence[FireModel], by_factor: str = "IDL_Layer") -> DataFrame:
+    """Rows of the models' biomes, scaled within each; a constant that no formula uses becomes 0.
+
+    Written once, because every later step reads it again. Sorted by biome, so
+    that a block of rows seldom falls apart into several strata.
+    """
+    rows = rows.where(F.col("Biomes").isin([m.biome for m in models]))
     rows = factor_dummy(relabel(rows, by_factor, ("IDL", DUMMY)), by_factor, DUMMY, DUMMY)
-    return materialise(standardise(rows, SCALED, ["Biomes"]), "model-table")
+    scaled = standardise(rows, SCALED, ["Biomes"], constant=0.0)
+    return materialise(scaled.sortWithinPartitions("Biomes"), "model-table")
+
+
+def model_table(panel: DataFrame, models: Sequence[FireModel], by_factor: str = "IDL_Layer") -> DataFrame:
+    """The scaled rows of every biome that can be fitted."""
+    rows = model_rows(panel, models, by_factor)
+    unfit = unfit_strata(rows, models, by_factor)
+    return scaled_rows(rows, [m for m in models if str(m.biome) not in unfit], by_factor)
 
 
 def run_response(panel: DataFrame, response: str, biomes: Sequence[int] | None = None, gam: bool = True) -> Results:
-    """Fit every model of a response in every biome that has enough rows."""
+    """Fit every model of a response in every biome that can be fitted; the others are named in ``skipped``."""
     models = [m for m in MODELS if m.response == response and (biomes is None or m.biome in biomes)]
-    table = model_table(panel, models)
-    results = Results(response)
-    moments = cross_products(table, response, [m.full() for m in models], "Biomes")
-    fitted = []
-    for m in models:
-        key = str(m.biome)
-        rows = int(round(moments.of(key, m.full()[:1])[0, 0])) if key in moments.strata else 0
-        if rows > len(m.full()) + 2:
-            fitted.append(m)
-        else:
-            results.skipped[key] = rows
+    rows = model_rows(panel, models)
+    results = Results(response, skipped=unfit_strata(rows, models))
+    fitted = [m for m in models if str(m.biome) not in results.skipped]
     if not fitted:
         return results
+    table = scaled_rows(rows, fitted)
     if response == "Fire":
         _presence(table, fitted, results)
     else:
+        moments = cross_products(table, response, [m.full() for m in fitted], "Biomes")
         _continuous(table, moments, fitted, results, gam)
     return results
 

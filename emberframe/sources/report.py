@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +33,16 @@ def coefficient_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     return spark.createDataFrame(rows, COEFFICIENTS)
 
 
-def quality_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
-    rows = [
+def quality_table(
+    spark: SparkSession, fits: Sequence[Fit], skipped: Mapping[str, tuple[int, str]] | None = None
+) -> DataFrame:
+    """One row per fit, and one of kind ``skipped`` per stratum left out, labelled by the reason."""
+    rows: list[tuple] = [
         (f.stratum, f.label, f.kind, f.n, f.parameters, float(np.sqrt(f.sigma2)), float(f.loglik), float(f.aic),
          float(f.df), f.converged, f.passes, f.aliased, {k: float(v) for k, v in f.extra.items()})
         for f in fits
     ]
+    rows += [(s, reason, "skipped", n, *[None] * 9) for s, (n, reason) in (skipped or {}).items()]
     return spark.createDataFrame(rows, QUALITY)
 
 

@@ -27,3 +27,13 @@ def test_normal_and_identities():
     assert t_two_sided(1.3, 7) == pytest.approx(f_upper(1.69, 1, 7), rel=1e-12)
     assert beta_cdf(0.3, 2, 5) == pytest.approx(1 - beta_cdf(0.7, 5, 2), rel=1e-12)
     assert math.isnan(t_two_sided(float("nan"), 5))
+
+
+@pytest.mark.parametrize("df", [1e6, 9.9e6, 1.1e7, 1e9])
+def test_one_method_for_all_degrees_of_freedom(df):
+    for t in (0.1, 1.6, 1.96, 5.0, 30.0):
+        density = (t * t + 1) * t * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) / (2 * df)  # first term of the expansion in 1/df
+        if t < 6:
+            assert t_two_sided(t, df) == pytest.approx(normal_two_sided(t) + density, rel=1e-6)
+    assert f_upper(3.2, 4, df) == pytest.approx(chi2_upper(12.8, 4), rel=1e-4)
+    assert t_two_sided(math.inf, df) == 0.0

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from checks.panels import full_panel
 from emberframe.lineage import materialise
@@ -41,7 +42,8 @@ def test_continuous_response(spark, panel, tmp_path):
     equal = next(f for f in results.fits if f.stratum == "7" and f.label == "equal")
     np.testing.assert_allclose(equal.beta, batch.beta, rtol=1e-6, atol=1e-8)
     assert len(results.gams) == 2
-    results.write(spark, str(tmp_path / "out"))
+    for _ in range(2):  # writing again replaces
+        results.write(spark, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/quality")).count() == len(results.fits)
 
 
@@ -56,3 +58,16 @@ def test_presence(panel):
 def test_thin_strata_are_named(panel):
     results = run_response(panel.where("Biomes <> 4 OR (col = 2 AND Year = 1996)"), "Size", biomes=(4,), gam=False)
     assert list(results.skipped) == ["4"] and results.fits == []
+
+
+def test_unfit_biomes_leave_the_others_alone(spark, panel):
+    odd = panel.where("Biomes <> 6 OR (col = 3 AND row = 1 AND Year = 1996 AND Month = 5)")
+    odd = odd.withColumn("LC_Crop", F.when(F.col("Biomes") == 1, F.lit(0.0)).otherwise(F.col("LC_Crop")))
+    odd = odd.withColumn("IDL_Layer", F.when(F.col("Biomes") == 2, F.lit("Indigenous Land")).otherwise(F.col("IDL_Layer")))
+    results = run_response(odd, "Fire", biomes=(1, 2, 6, 7), gam=False)
+    reasons = {s: reason for s, (_, reason) in results.skipped.items()}
+    assert reasons["1"] == "LC_Crop constant" and reasons["2"] == "IDL_Layer has one level"
+    assert reasons["6"].startswith("too few rows")
+    assert {f.stratum for f in results.fits} == {"7"}
+    table = results.tables(spark)["quality"]
+    assert {r["stratum"] for r in table.where("kind = 'skipped'").collect()} == {"1", "2", "6"}
