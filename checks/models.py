@@ -406,7 +406,9 @@ def refit_without_outliers(spark, folder):
 )
 def driver_profiles(spark, folder):
     """Response over quantile bins of each driver."""
-    table = D.driver_profile(model_rows(spark, folder), "y", ["l_quantity", "p_retailprice", "s_acctbal"], 10)
+    drivers = ["l_quantity", "p_retailprice", "s_acctbal"]
+    rows = materialise(model_rows(spark, folder).select("y", *drivers), "profile-rows")
+    table = D.driver_profile(rows, "y", drivers, 10)
     return table.withColumns({c: F.round(c, 6) for c in ("driver_mean", "mean", "sd")})
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import materialise
+
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -14,7 +16,9 @@ def layer_names(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     """(path, layer): files of a folder in name order, counted from 0.
 
     Only paths are listed, contents stay unread. The window has no partition
-    key because it ranks file names, one per layer, never data rows.
+    key because it ranks file names, one per layer, never data rows. The names
+    are written, so that the planner judges a join by their size, not by that
+    of the files.
     """
     files = (
         spark.read.format("binaryFile")
@@ -24,7 +28,7 @@ def layer_names(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
         .select("path")
     )
     rank = F.row_number().over(Window.orderBy("path")) - 1
-    return files.select("path", rank.cast("int").alias("layer"))
+    return materialise(files.select("path", rank.cast("int").alias("layer")), "layer-names")
 
 
 def with_layer(rows: DataFrame, layers: DataFrame, path: str = "path") -> DataFrame:
