@@ -31,6 +31,8 @@ from .words import WHITE_SPACE, WORDS, Remembered, slices, split_words
 
 #: Pieces up to this many bytes are merged many at a time, longer ones singly.
 SHORT_BYTES = 40
+#: Words and pieces that a task remembers, twice over; a bound on memory that changes no result.
+REMEMBERED = 150_000
 #: Stands where a row of parts has ended.
 NO_PART = (1 << 20) - 1
 
@@ -71,7 +73,7 @@ class WordBpe:
         pairs = sorted((self.ids[a] << 20 | self.ids[b], r) for (a, b), r in self.ranks.items())
         self.pair_keys, self.pair_rank = np.array(pairs, np.int64).T.copy()
         self.merged_ids = np.array([self.ids[a + b] for a, b in self.ranks])
-        self.known, self.known_pieces = Remembered(2), Remembered(2)  # ids in decimal, decoded form
+        self.known, self.known_pieces = Remembered(2, REMEMBERED), Remembered(2, REMEMBERED)  # ids in decimal, decoded form
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
@@ -195,6 +197,12 @@ class WordBpe:
             ids = self.encode_word(word)
             known[0][word], known[1][word] = " ".join(map(str, ids)), self.decode(ids)
 
+    def forget(self) -> None:
+        """Release what one task remembered."""
+        self.known.forget()
+        self.known_pieces.forget()
+        pa.default_memory_pool().release_unused()
+
     def printed(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """The ids of each text in decimal, and its decoded form, both joined by one space."""
         split = split_words(texts)
@@ -240,6 +248,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

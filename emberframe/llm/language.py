@@ -33,6 +33,8 @@ UNDETERMINED = "und"
 #: Learning rows for each language and of each as many characters, at most.
 SAMPLE_ROWS = 300
 SAMPLE_CHARACTERS = 4000
+#: Texts that are scored by one product, whatever their length; a bound on memory that changes no result.
+TEXTS_AT_ONCE = 256
 #: Landmarks for each language.
 LANDMARKS = 40
 RIDGE = 1e-2
@@ -181,7 +183,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
             for run_of in slices(batch.column(at).cast(pa.string()).fill_null(""), 1_000_000):
                 texts = run_of.to_pylist()
                 known = [any(small[ord(c)] for c in set(t)) for t in texts]
-                values = model.score(texts, columns) if model else np.zeros((len(texts), 1))
+                starts = range(0, len(texts), TEXTS_AT_ONCE)
+                parts = [model.score(texts[i : i + TEXTS_AT_ONCE], columns) for i in starts] if model else []
+                values = np.concatenate(parts) if parts else np.zeros((len(texts), 1))
                 best = values.argmax(1)
                 for ok, k, v in zip(known, best.tolist(), values.max(1).tolist()):
                     good = ok and model is not None

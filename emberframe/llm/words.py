@@ -19,16 +19,22 @@ WORDS = re.compile(f"[^{WHITE_SPACE}]+")
 
 
 class Remembered(list):
-    """``n`` dicts with the same words as keys: the last REMEMBERED_WORDS met, and as many before them."""
+    """``n`` dicts with the same words as keys: the last ``words`` met, and as many before them."""
 
-    def __init__(self, n: int = 1):
+    def __init__(self, n: int = 1, words: int = REMEMBERED_WORDS):
         super().__init__({} for _ in range(n))
         self.older: list[dict] = [{} for _ in range(n)]
+        self.words = words
+
+    def forget(self) -> None:
+        """Start anew, so that a worker that waits for its next task holds no words."""
+        self[:] = [{} for _ in self]
+        self.older = [{} for _ in self]
 
     def lacking(self, words: set[str]) -> set[str]:
         """Those of ``words`` that have to be worked out; all others can be looked up afterwards."""
         fresh = words.difference(self[0])
-        if len(self[0]) + len(fresh) > REMEMBERED_WORDS:
+        if len(self[0]) + len(fresh) > self.words:
             self.older = list(self)
             self[:] = [{} for _ in self]
             fresh = set(words)
