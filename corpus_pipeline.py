@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from emberframe.llm import bpe, decontamination, exact_dedup, language, set_join
 from emberframe.llm.shared import documents, stored
 
+#: Documents are near copies if they share so many percent of their runs of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A text whose best language scores less is no text in a language that the sample knows.
 LEAST_LANGUAGE_SCORE = 0.2
 
@@ -33,7 +35,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that similarity links stays: the one with the smallest id."""
-    groups = set_join.join_sets(docs)
+    groups = set_join.join_sets(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     dropped = stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near-dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 

@@ -133,6 +133,15 @@ def test_set_join_loses_no_link(spark, monkeypatch, block, small):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked_by_force(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("block", "small"), [(2000, 40), (3, 0)])
+def test_set_join_at_lower_similarity(spark, monkeypatch, block, small):
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    monkeypatch.setattr(set_join, "MOST_SMALL", small)
+    rows = near_copies()
+    got = set_join.join_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=5, percent=80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked_by_force(rows, 5, 80)
+
+
 def test_set_join_on_odd_rows(odd):
     rows = set_join.join_sets(odd).collect()
     assert len(rows) == odd.count()
@@ -286,6 +295,16 @@ def test_pipeline(spark):
     assert len(set(linked_by_force(list(texts.items()), 3, 90).values())) == len(texts)
 
 
+def test_near_copies_leave_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = near_copies()
+    kept = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    by_force = linked_by_force(rows, 5, 80)
+    assert {r["doc_id"] for r in kept} == {d for d, (size, root) in by_force.items() if not size or root == d}
+    assert len(set(linked_by_force(rows, 3, 90).values())) > len(kept)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_an_empty_table(spark, stage):
     import corpus_pipeline
