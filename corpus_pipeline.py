@@ -10,22 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from emberframe.llm import bpe, decontamination, exact_dedup, language, set_join
 from emberframe.llm.shared import documents, stored
 
 #: Documents are near copies if they share so many percent of their runs of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: A text whose best language scores less is no text in a language that the sample knows.
-LEAST_LANGUAGE_SCORE = 0.2
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents without letters and those that no language claims."""
+    """Leaves out documents without letters and those that no learned language claims."""
     model = language.train(docs)
-    known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return language.predict(docs, model).filter(known).select(*docs.columns)
+    return language.predict(docs, model, claimed_out="claimed").filter("claimed").select(*docs.columns)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,10 @@ one class. Defined results: a text that is null, empty or without letters gets
 ``und`` and 0; extra columns play no part; repeated rows get equal rows; with
 no learning rows at all every text is ``und``. Ties go to the language that
 sorts first.
+
+A score only compares the learned languages: K raw scores add up to 2 - K, so the
+best of few is never low. Whether a text is in its language at all is told by the
+share of its n-grams that the language's landmarks hold, see ``Model.claims``.
 """
 
 from __future__ import annotations
@@ -38,6 +42,11 @@ TEXTS_AT_ONCE = 256
 #: Landmarks for each language.
 LANDMARKS = 40
 RIDGE = 1e-2
+#: Of the shares of known n-grams of learning rows with LONG n-grams or more, so low a quantile
+#: is taken for clean; a text may fall short of 1 by SLACK times as much.
+LONG, CLEAN, SLACK = 300, 0.005, 2.0
+#: What chance may take from a short text: standard deviations of its known n-grams, and the n-grams of one unknown letter.
+DEVIATIONS, ONE_LETTER = 2.0, 6
 ALPHABET = 128  # class 0 is the gap, class 1 any other letter
 
 
@@ -88,6 +97,8 @@ class Model:
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
     languages: list[str]
+    held: np.ndarray  # languages x (grams + 1): whether a landmark of the language holds the gram
+    least: float  # share of known n-grams below which a long text is in none of the languages
 
     def columns(self) -> np.ndarray:
         """For each code its column, the last one (which is dropped) for codes of no landmark."""
@@ -112,6 +123,25 @@ class Model:
     def score(self, texts: list[str], columns: np.ndarray) -> np.ndarray:
         return self.kernel(texts, columns) @ self.weights + self.bias
 
+    def claims(self, text: str, language: int, columns: np.ndarray) -> bool:
+        """Whether the language's landmarks hold enough of a text's n-grams.
+
+        ``least`` comes from the learning rows, not from the number of languages.
+        A text of few letters may fall below it by chance, and one of a single word mostly stays.
+        """
+        known, grams = known_grams(text, letter_classes(self.letters), columns, self.held[language])
+        variance = 3 * grams * max(0.0, self.least * (1 - self.least))  # three n-grams a letter come and go together
+        return known >= self.least * grams - DEVIATIONS * variance**0.5 - ONE_LETTER
+
+
+def known_grams(text: str, classes: np.ndarray, columns: np.ndarray, held: np.ndarray) -> tuple[int, int]:
+    """How many n-grams of a text are ``held``, and how many it has; repeated ones count."""
+    known = grams = 0
+    for codes in gram_codes(text, classes):
+        known += int(np.count_nonzero(held[columns[codes]]))
+        grams += len(codes)
+    return known, grams
+
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> Model:
     """Ridge regression on Nystroem features; the first texts of each language are its landmarks."""
@@ -126,7 +156,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> M
     classes = letter_classes(letters)
     own = [i for n in names for i in [k for k, x in enumerate(languages) if x == n][:landmarks]]
     sets = [np.unique(np.concatenate(list(gram_codes(texts[i], classes)))) for i in own]
-    model = Model(letters, np.unique(np.concatenate(sets)), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), names)
+    model = Model(letters, np.unique(np.concatenate(sets)), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), names, np.zeros((0, 0)), 0.0)
     columns = model.columns()
     present = model.presence([texts[i] for i in own], columns)
     model.landmarks = present / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
@@ -142,6 +172,20 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> M
     solved = np.linalg.solve(centred.T @ centred + RIDGE * len(texts) * np.eye(len(middle)), centred.T @ (target - level))
     model.weights = (to_features @ solved).astype(np.float32)
     model.bias = (level - middle @ solved).astype(np.float32)
+    number = np.zeros((len(names), len(model.grams) + 1), np.int32)
+    for i, row in zip(own, present):
+        number[names.index(languages[i]), :-1] += row > 0
+    model.held = number > 0
+    shares = []
+    landmark = set(own)
+    for i, (text, name) in enumerate(zip(texts, languages)):
+        # A landmark's own n-grams must be held by another one as well.
+        known, grams = known_grams(text, classes, columns, number[names.index(name)] > (i in landmark))
+        if any(small[ord(c)] for c in set(text)):
+            shares.append((grams >= LONG, known / grams))
+    # Without long rows the short ones must do.
+    usable = [x for long, x in shares if long] or [x for _, x in shares]
+    model.least = 1 - SLACK * (1 - float(np.quantile(usable, CLEAN))) if usable else 0.0
     return model
 
 
@@ -166,13 +210,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(texts, languages) if texts else None
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and a score from 0 to 1 (0.5: neither for nor against)."""
+def predict(
+    docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", claimed_out: str | None = None
+) -> DataFrame:
+    """``docs`` with the predicted language and a score from 0 to 1 (0.5: neither for nor against).
+
+    ``claimed_out`` names a column that tells whether the text is in that language at all.
+    """
     from pyspark.sql import types as T
 
-    kept = docs.drop(lang_out, score_out)
+    names = [lang_out, score_out, *([claimed_out] if claimed_out else [])]
+    kept = docs.drop(*names)
     at = kept.columns.index(text_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    kinds = [T.StringType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = model.columns() if model else None
@@ -180,6 +231,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
         for batch in batches:
             languages: list[str] = []
             scores: list[float] = []
+            claimed: list[bool] = []
             for run_of in slices(batch.column(at).cast(pa.string()).fill_null(""), 1_000_000):
                 texts = run_of.to_pylist()
                 known = [any(small[ord(c)] for c in set(t)) for t in texts]
@@ -187,12 +239,14 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
                 parts = [model.score(texts[i : i + TEXTS_AT_ONCE], columns) for i in starts] if model else []
                 values = np.concatenate(parts) if parts else np.zeros((len(texts), 1))
                 best = values.argmax(1)
-                for ok, k, v in zip(known, best.tolist(), values.max(1).tolist()):
+                for text, ok, k, v in zip(texts, known, best.tolist(), values.max(1).tolist()):
                     good = ok and model is not None
                     languages.append(model.languages[k] if good else UNDETERMINED)
                     scores.append(min(1.0, max(0.0, (v + 1) / 2)) if good else 0.0)
-            added = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, lang_out, score_out])
+                    if claimed_out:
+                        claimed.append(good and model.claims(text, k, columns))
+            added = [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(claimed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added[: len(names)]], [*batch.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
 

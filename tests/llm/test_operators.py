@@ -243,6 +243,36 @@ def test_language(spark, odd):
     assert (whole == pieces).all()
 
 
+UNCLAIMED = {
+    -1: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    -2: "xqzvk jwpfg qxkzj vbxqw zzkqj hjxvw qkpzx wvxjq " * 3,
+    -3: "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+}
+
+
+def test_language_stage_leaves_out_what_no_language_claims(spark):
+    import corpus_pipeline
+
+    docs = shared.documents(spark, "/root/testdata/sf0.01")
+    alien = spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in UNCLAIMED.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.in_a_language(spark, docs.unionByName(alien.select(*docs.columns)), FOLDER).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in docs.filter(r"text rlike '\\p{L}'").select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("languages", [1, 3, 8])
+def test_claims_do_not_depend_on_the_number_of_languages(languages):
+    rng = random.Random(3)
+    letters = ["abcdefg", "hijklmn", "opqrstu", "vwxyzäö", "абвгдеж", "зийклмн", "αβγδεζη", "θικλμνξ"][:languages]
+    words = [["".join(rng.choices(x, k=rng.randint(2, 6))) for _ in range(40)] for x in letters]
+    rows = [(" ".join(rng.choices(w, k=60)), f"l{k}") for k, w in enumerate(words) for _ in range(60)]
+    model = language.fit([t for t, _ in rows], [x for _, x in rows])
+    fresh = [" ".join(rng.choices(w, k=60)) for w in words]
+    columns = model.columns()
+    own = model.score(fresh, columns).argmax(1)
+    assert all(model.claims(t, k, columns) for t, k in zip(fresh, own))
+    assert not any(model.claims("ჰელო სამყარო " * 20, k, columns) for k in range(languages))
+
+
 def test_toxicity_network():
     random.seed(2)
     words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
