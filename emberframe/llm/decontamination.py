@@ -26,7 +26,7 @@ from .shared import documents, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS, BLOCKS = 64, 16
+BITS, BLOCKS = 64, 32
 #: Shingles of the benchmark are sent to all tasks if there are at most so many, else joined by shuffle.
 FEW_SHINGLES = 2_000_000
 

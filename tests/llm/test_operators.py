@@ -169,6 +169,27 @@ def test_decontamination(spark):
     assert ((4, 3) in got) == (16 / 22 >= decontamination.SIMILARITY)
 
 
+def edited_items(least, most):
+    """Items, and documents that hold one with its end changed, with the similarity that leaves; distinct words, so all shingles weigh 1."""
+    items, docs, similar = [], [], {}
+    for i in range(500):
+        n = 13 + 9 * (i % 6)  # 9, 18, ... shingles
+        words = [f"i{i}w{k}" for k in range(n)]
+        changed = next(e for e in range(1, n) if (n - 4 - e) / (n - 4 + e) <= most)
+        if (n - 4 - changed) / (n - 4 + changed) >= least:
+            items.append((i, " ".join(words)))
+            docs.append((i, " ".join([f"p{i}a", *words[:-changed], *[f"x{i}w{k}" for k in range(changed)], f"p{i}b"])))
+            similar[i, i] = (n - 4 - changed) / (n - 4 + changed)
+    return items, docs, similar
+
+
+def test_decontamination_misses_no_edited_item(spark):
+    items, docs, similar = edited_items(0.8, 0.801)
+    assert len(similar) == 500
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == {k: round(v, 9) for k, v in similar.items()}
+
+
 def test_secrets_by_force(spark):
     texts = {1: "token: abcdef é secret: token = abcdefg", 2: "AKIA" + "Z" * 16 + " AKIAZ", 3: "f" * 24 + " " + "e" * 23, 4: None, 5: 'API_KEY="A1b2C3d4" 😀 password=aaa', 6: "zZ0" * 8}
     docs = spark.createDataFrame([(i, t, f"s{i % 2}", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string")
