@@ -143,7 +143,7 @@ def written_coefficients(spark, folder):
     fits = fit_ols(model_rows(spark, folder), "y", {"linear": ONE}, "p_brand")
     path = new_folder(spark, "coefficients")
     report.printed_coefficients(report.coefficient_table(spark, fits)).write.partitionBy("stratum").csv(path, header=True)
-    return spark.read.csv(path, header=True, schema="label string, kind string, place int, term string, estimate string, std_error string, statistic string, p_value string, stratum string").select(
+    return spark.read.csv(path, header=True, schema="label string, kind string, place int, term string, estimate string, std_error string, statistic string, p_value string, converged boolean, stratum string").select(
         "stratum", "term", "estimate", "std_error"
     )
 
@@ -230,25 +230,25 @@ def weighted_residual_bins(spark, folder):
 NEWTON_STEPS = 7
 
 
-def newton_sql() -> str:
+def newton_sql(rows: str = MODEL_ROWS, by: str = "p_brand") -> str:
     """Logistic regression of ``returned`` on quantity by stratum, step by step."""
-    parts = [MODEL_ROWS, "n0 AS (SELECT DISTINCT p_brand, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM rows_)"]
+    parts = [rows, f"n0 AS (SELECT DISTINCT {by}, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM rows_)"]
     for i in range(NEWTON_STEPS):
         parts.append(
-            f"""s{i} AS (SELECT p_brand, any_value(b0) AS b0, any_value(b1) AS b1, sum(m * (1 - m)) AS h00, sum(m * (1 - m) * l_quantity) AS h01,
+            f"""s{i} AS (SELECT {by}, any_value(b0) AS b0, any_value(b1) AS b1, sum(m * (1 - m)) AS h00, sum(m * (1 - m) * l_quantity) AS h01,
   sum(m * (1 - m) * l_quantity * l_quantity) AS h11, sum(returned - m) AS g0, sum((returned - m) * l_quantity) AS g1
-  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * l_quantity))) AS m FROM rows_ JOIN n{i} USING (p_brand)) GROUP BY p_brand),
-n{i + 1} AS (SELECT p_brand, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0,
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * l_quantity))) AS m FROM rows_ JOIN n{i} USING ({by})) GROUP BY {by}),
+n{i + 1} AS (SELECT {by}, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0,
   b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM s{i})"""
         )
     arc = lambda t: f"(-((1 - 2 * ({t})) * sqrt(1 + pow(1 - 2 * ({t}), 2)) + asinh(1 - 2 * ({t}))) / 4)"
     parts.append(
-        f"""q AS (SELECT p_brand, count(*) AS n, any_value(b0) AS b0, any_value(b1) AS b1, sum(m * (1 - m)) AS h00, sum(m * (1 - m) * l_quantity) AS h01,
+        f"""q AS (SELECT {by}, count(*) AS n, any_value(b0) AS b0, any_value(b1) AS b1, sum(m * (1 - m)) AS h00, sum(m * (1 - m) * l_quantity) AS h01,
   sum(m * (1 - m) * l_quantity * l_quantity) AS h11, -2 * sum(returned * ln(m) + (1 - returned) * ln(1 - m)) AS deviance,
   sum(pow({arc('m')} - {arc('returned')}, 2)) AS far, sum(pow({arc('mean_')} - {arc('returned')}, 2)) AS far0,
   -2 * sum(returned * ln(mean_) + (1 - returned) * ln(1 - mean_)) AS null_deviance
-  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * l_quantity))) AS m, avg(returned) OVER (PARTITION BY p_brand) AS mean_
-    FROM rows_ JOIN n{NEWTON_STEPS} USING (p_brand)) GROUP BY p_brand)"""
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * l_quantity))) AS m, avg(returned) OVER (PARTITION BY {by}) AS mean_
+    FROM rows_ JOIN n{NEWTON_STEPS} USING ({by})) GROUP BY {by})"""
     )
     return with_sql(*parts)
 

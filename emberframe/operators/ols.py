@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .design import Expansion, Term
+from .design import CONSTANT, Base, Expansion, Term
 from .solve import Fit, ols_from_cross
 from .sums import packed, sum_blocks, unpacked
 
@@ -16,8 +16,10 @@ from .sums import packed, sum_blocks, unpacked
 class CrossProducts:
     """Cross products per stratum, good for any submodel of the formulas."""
 
-    def __init__(self, expansion: Expansion, low: dict[str, np.ndarray], high: dict[str, np.ndarray]):
-        self.expansion, self.low, self.high = expansion, low, high
+    def __init__(
+        self, expansion: Expansion, low: dict[str, np.ndarray], high: dict[str, np.ndarray], formulas: Sequence[Sequence[Term]]
+    ):
+        self.expansion, self.low, self.high, self.formulas = expansion, low, high, formulas
 
     @property
     def strata(self) -> list[str]:
@@ -27,6 +29,25 @@ class CrossProducts:
         none = np.zeros((len(self.expansion.bases) + 1,) * 2)
         return self.expansion.assemble(self.low.get(stratum, none), self.high.get(stratum, none), terms)
 
+    def without(self, removed: DataFrame, response: str, stratum: str | None = None) -> CrossProducts:
+        """Cross products of all rows but the removed ones, which alone are read.
+
+        What remains must be a real share of the rows: sums lose as many digits
+        as the removed rows outweigh the others.
+        """
+        gone = cross_products(removed, response, self.formulas, stratum)
+        less = lambda a, b: {s: m - b[s] if s in b else m for s, m in a.items()}
+        return CrossProducts(self.expansion, less(self.low, gone.low), less(self.high, gone.high), self.formulas)
+
+    def correlations(self, stratum: str, drivers: Sequence[str]) -> np.ndarray:
+        """Correlation matrix of the drivers over the stratum's rows."""
+        terms = [Term(CONSTANT, False, None), *(Term(Base(d, 1), False, None) for d in drivers)]
+        cross = self.of(stratum, terms)[:-1, :-1]
+        centred = cross[1:, 1:] - np.outer(cross[0, 1:], cross[0, 1:]) / cross[0, 0]
+        scale = np.sqrt(np.clip(np.diag(centred), 0, None))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return centred / np.outer(scale, scale)
+
 
 def cross_products(
     df: DataFrame, response: str, formulas: Sequence[Sequence[Term]], stratum: str | None = None
@@ -49,7 +70,7 @@ def cross_products(
         name = key[0] if stratum else ""
         level = float(key[-1]) if factor else 0.0
         (high if level == 1.0 else low)[name] = unpacked(vector, size)
-    return CrossProducts(expansion, low, high)
+    return CrossProducts(expansion, low, high, list(formulas))
 
 
 def _factor(formulas: Sequence[Sequence[Term]]) -> str | None:
@@ -111,5 +132,15 @@ def step_backward(
         fit = ols_of(moments, stratum, current, label)
 
 
+def collinear(moments: CrossProducts, drivers: Sequence[str], above: float = 0.7) -> list[tuple[str, str, str, float]]:
+    """(stratum, a, b, r): pairs of drivers whose signed correlation exceeds the threshold, from sums at hand."""
+    out = []
+    for s in moments.strata:
+        r = moments.correlations(s, drivers)
+        pairs = [(i, j) for i in range(len(drivers)) for j in range(i + 1, len(drivers)) if r[i, j] > above]
+        out += [(s, drivers[i], drivers[j], float(r[i, j])) for i, j in pairs]
+    return out
+
+
 def _step_aic(n: int, rss: float, size: int) -> float:
     return n * math.log(rss / n) + 2 * size

@@ -49,6 +49,8 @@ class Fit:
     extra: dict[str, float] = field(default_factory=dict)
     converged: bool = True
     passes: int = 1
+    group: str | None = None
+    effects: dict[str, float] = field(default_factory=dict)  # predicted intercept of each group
 
     @property
     def aic(self) -> float:

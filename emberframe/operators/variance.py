@@ -6,6 +6,10 @@ profiled likelihood. One step takes one pass over the data, shared by every
 candidate and every stratum: besides the weighted cross products the pass
 returns those with weights times v_j and v_j * v_k, which give the second-order
 expansion of the cross products in delta, hence exact derivatives.
+
+The same sums evaluate a model at given parameters, in one pass and without a
+search. Group effects are predicted from the sums of each group, so they cost no
+further pass either.
 """
 
 from __future__ import annotations
@@ -37,6 +41,14 @@ class VarianceModel:
     reml: bool = True
 
 
+@dataclass(frozen=True)
+class Given:
+    """Parameters to evaluate a model at: delta of each covariate, and tau^2 / sigma^2 of the random intercept."""
+
+    delta: tuple[float, ...] = ()
+    ratio: float = 0.0
+
+
 @dataclass
 class _Search:
     model: VarianceModel
@@ -67,16 +79,8 @@ def fit_variance_models(
     With ``group`` each model has a random intercept per group. ``only`` limits
     the models tried in a stratum; strata it does not name are left out.
     """
-    expansion = Expansion([m.terms for m in models.values()])
-    factor = _factor([m.terms for m in models.values()])
-    covariates = sorted({c for m in models.values() for c in m.covariates})
-    if only is None:
-        only = {s: list(models) for s in strata_of(df, stratum)}
-    searches = [
-        _Search(models[label], label, s, np.zeros(len(models[label].covariates)), np.zeros(len(models[label].covariates)))
-        for s, labels in sorted(only.items())
-        for label in labels
-    ]
+    expansion, factor, covariates = _columns(models)
+    searches = _searches(df, models, stratum, only)
     keys = [k for k in (stratum, group, factor) if k]
     for _ in range(max_passes):
         active = [s for s in searches if not s.done]
@@ -85,10 +89,64 @@ def fit_variance_models(
         sums = _weighted_pass(df, response, expansion, covariates, keys, bool(stratum), active)
         for s in active:
             _advance(s, _assembled(sums, s, expansion, bool(stratum), bool(group), bool(factor)), bool(group), tolerance)
-    return [_finish(s, bool(group)) for s in searches]
+    return [_finish(s, group) for s in searches]
+
+
+def evaluate_variance_models(
+    df: DataFrame,
+    response: str,
+    models: Mapping[str, VarianceModel],
+    at: Mapping[str | tuple[str, str], Given],
+    stratum: str | None = None,
+    group: str | None = None,
+    only: Mapping[str, Sequence[str]] | None = None,
+) -> list[Fit]:
+    """Every model in every stratum at given variance parameters: one pass, no search.
+
+    ``at`` names them by label, or by (stratum, label) where strata differ. The
+    fixed effects, sigma and the likelihood are the best ones given these.
+    """
+    expansion, factor, covariates = _columns(models)
+    searches = _searches(df, models, stratum, only)
+    for s in searches:
+        given = at.get((s.stratum, s.label), at.get(s.label))
+        if given is None or len(given.delta) != len(s.model.covariates):
+            raise ValueError(f"{s.label}: give one delta for each of {s.model.covariates} (stratum {s.stratum!r})")
+        if given.ratio and not group:
+            raise ValueError(f"{s.label}: a variance ratio needs a group")
+        s.delta = np.array(given.delta, dtype=float)
+        s.state["tau"] = given.ratio
+    # the spread of the fixed part is that of unweighted rows
+    plain = [_Search(VarianceModel(s.model.terms), s.label, s.stratum, np.zeros(0), np.zeros(0)) for s in searches]
+    keys = [k for k in (stratum, group, factor) if k]
+    sums = _weighted_pass(df, response, expansion, covariates, keys, bool(stratum), searches + plain, derivatives=False)
+    for s, p in zip(searches, plain):
+        flat = _assembled(sums, p, expansion, bool(stratum), bool(group), bool(factor))
+        _measure(s, flat[1][:, 0].sum(axis=0), flat[2][:, 0].sum())
+        groups, cross, tails = _assembled(sums, s, expansion, bool(stratum), bool(group), bool(factor))
+        surface = _Surface(cross, tails, s.state["kept"], s.model.reml)
+        s.best, s.best_delta, s.passes = surface.loglik(np.zeros(surface.k), s.state["tau"]), s.delta, 1
+        s.state.update(surface=surface, groups=groups)
+        s.done = s.converged = True
+    return [_finish(s, group) for s in searches]
+
 
+def _columns(models: Mapping[str, VarianceModel]) -> tuple[Expansion, str | None, list[str]]:
+    formulas = [m.terms for m in models.values()]
+    return Expansion(formulas), _factor(formulas), sorted({c for m in models.values() for c in m.covariates})
 
-def _weighted_pass(df, response, expansion, covariates, keys, by_stratum, active):
+
+def _searches(df, models, stratum, only) -> list[_Search]:
+    if only is None:
+        only = {s: list(models) for s in strata_of(df, stratum)}
+    return [
+        _Search(models[label], label, s, np.zeros(len(models[label].covariates)), np.zeros(len(models[label].covariates)))
+        for s, labels in sorted(only.items())
+        for label in labels
+    ]
+
+
+def _weighted_pass(df, response, expansion, covariates, keys, by_stratum, active, derivatives=True):
     """Weighted cross products of every active candidate, in one job.
 
     Candidates of a stratum that stand at the same delta share their sums.
@@ -112,7 +170,7 @@ def _weighted_pass(df, response, expansion, covariates, keys, by_stratum, active
             total = log_w.sum() if np.abs(log_w).max() <= LOG_WEIGHT_LIMIT else -math.inf
             tail = np.concatenate([[z.shape[1], total], v.sum(axis=1)])
             yield f"{ticket}|", np.concatenate([packed((z * w) @ z.T), tail])
-            for j in range(len(at)):
+            for j in range(len(at) if derivatives else 0):
                 zj = z * (w * v[j])
                 yield f"{ticket}|{j}", packed(zj @ z.T)
                 for l in range(j, len(at)):
@@ -205,6 +263,12 @@ class _Surface:
             out -= float(np.log(np.diag(root)[:-1]).sum())
         return out
 
+    def group_effects(self, beta: np.ndarray, tau: float) -> np.ndarray:
+        """Best linear unbiased prediction of each group's intercept, from its weighted sums."""
+        a = self.cross[:, 0]
+        residual = a[:, 0, -1] - a[:, 0, :-1] @ beta
+        return tau * residual / (1.0 + tau * a[:, 0, 0])
+
     def best_log_tau(self) -> float:
         """Grid, then golden section; minus infinity when no group variance is best."""
         h = np.zeros(self.k)
@@ -258,16 +322,20 @@ class _Surface:
         return step * min(1.0, STEP_LIMIT / size) if size > 0 else step
 
 
+def _measure(s: _Search, total: np.ndarray, n: float) -> None:
+    """What the unweighted cross products tell: the estimable terms and the spread of each."""
+    p = len(s.model.terms)
+    s.state["kept"] = estimable(total[:p, :p])
+    s.state["unweighted"] = total
+    if n <= len(s.state["kept"]):
+        raise ValueError(f"{s.label}: too few rows for its coefficients (stratum {s.stratum!r})")
+
+
 def _advance(s: _Search, assembled, random: bool, tolerance: float) -> None:
     groups, cross, tails = assembled
     s.passes += 1
-    p = len(s.model.terms)
     if "kept" not in s.state:
-        total = cross[:, 0].sum(axis=0)
-        s.state["kept"] = estimable(total[:p, :p])
-        s.state["unweighted"] = total  # the first pass has delta = 0
-        if tails[:, 0].sum() <= len(s.state["kept"]):
-            raise ValueError(f"{s.label}: too few rows for its coefficients (stratum {s.stratum!r})")
+        _measure(s, cross[:, 0].sum(axis=0), tails[:, 0].sum())  # the first pass has delta = 0
     surface = _Surface(cross, tails, s.state["kept"], s.model.reml)
     log_tau = surface.best_log_tau() if random else -math.inf
     tau = math.exp(log_tau) if math.isfinite(log_tau) else 0.0
@@ -293,7 +361,8 @@ def _advance(s: _Search, assembled, random: bool, tolerance: float) -> None:
         s.done = True  # pinned at the bound: not converged
 
 
-def _finish(s: _Search, random: bool) -> Fit:
+def _finish(s: _Search, group: str | None) -> Fit:
+    random = bool(group)
     surface: _Surface = s.state["surface"]
     tau = s.state["tau"]
     kept = s.state["kept"]
@@ -331,4 +400,6 @@ def _finish(s: _Search, random: bool) -> Fit:
         extra=extra,
         converged=s.converged,
         passes=s.passes,
+        group=group,
+        effects=dict(zip(s.state["groups"], map(float, surface.group_effects(beta, tau)))) if random else {},
     )

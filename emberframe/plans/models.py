@@ -47,6 +47,8 @@ class FireModel:
     ``without`` lists the drivers screened out as collinear. ``variances`` are
     the combined variance structures, the one kept for the mixed model first.
     ``candidates`` are the reduced fixed parts by the terms they leave out.
+    ``outliers`` is how many of the most influential rows of the selected
+    least-squares model are removed before everything is fitted again.
     """
 
     biome: int
@@ -56,6 +58,7 @@ class FireModel:
     variances: tuple[str, ...] = ()
     candidates: Mapping[str, str] = field(default_factory=dict)
     final: str = "full"
+    outliers: int = 0
 
     @property
     def drivers(self) -> tuple[str, ...]:
@@ -127,6 +130,7 @@ MODELS = (
             "reduced3": "I(TMax^2), No_IDL:I(LC_Herbs^2), No_IDL:I(TMax^2), No_IDL:fPAR",
         },
         final="reduced1",
+        outliers=5,
     ),
     FireModel(
         1, "Ignitions", "cube_root",
