@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import given, grids, models, panels, profiles  # noqa: F401
+from . import batch, given, grids, models, panels, profiles  # noqa: F401
 from .fixtures import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -164,22 +164,32 @@ def run_response(panel: DataFrame, response: str, biomes: Sequence[int] | None =
     Cross products are read once. Where a model's outliers are to be removed, they
     are taken out of the sums for least squares and out of the rows for the rest.
     """
+    results, models, moments = screen_response(panel, response, biomes)
+    if not models:
+        return results
+    if response == "Fire":
+        _presence(results.rows, models, results)
+    else:
+        results.rows, moments = _without_outliers(results.rows, moments, models, results)
+        _continuous(results.rows, moments, models, results, gam)
+    return results
+
+
+def screen_response(
+    panel: DataFrame, response: str, biomes: Sequence[int] | None = None
+) -> tuple[Results, list[FireModel], CrossProducts | None]:
+    """What comes before any fit: scaled rows, the models that can be fitted, cross products, collinear pairs."""
     models = [m for m in MODELS if m.response == response and (biomes is None or m.biome in biomes)]
     rows = model_rows(panel, models)
     results = Results(response, skipped=unfit_strata(rows, models))
     fitted = [m for m in models if str(m.biome) not in results.skipped]
     if not fitted:
-        return results
-    table = scaled_rows(rows, fitted)
-    moments = cross_products(table, response, [model_terms(DRIVERS, (), DUMMY), *(m.full() for m in fitted)], "Biomes")
+        return results, [], None
+    results.rows = scaled_rows(rows, fitted)
+    formulas = [model_terms(DRIVERS, (), DUMMY), *(m.full() for m in fitted)]
+    moments = cross_products(results.rows, response, formulas, "Biomes")
     results.collinear = collinear(moments, DRIVERS)
-    if response == "Fire":
-        _presence(table, fitted, results)
-    else:
-        table, moments = _without_outliers(table, moments, fitted, results)
-        _continuous(table, moments, fitted, results, gam)
-    results.rows = table
-    return results
+    return results, fitted, moments
 
 
 def _without_outliers(
