@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 SEPARATOR = "\x1f"
 BLOCK_ROWS = 65_536
 HELD_NUMBERS = 16_000_000  # 128 MB of running totals per task
-TASKS_ADDED = 256  # neighbouring tasks whose sums meet in the first step
-MISSING = "<missing>"
+MISSING = "\x1e<missing>"  # begins with a separator, which sets it apart from a group of that name
 
 Key = tuple[str, ...]
 Block = Callable[[Key, np.ndarray], Iterable[tuple[str, np.ndarray]]]
@@ -97,43 +96,34 @@ def sum_blocks(
             reduce_held()
         yield from _batches(totals)
 
-    # one short row per task, key and label; added up in two steps, so that the
-    # single key of an unstratified model is not added by one task alone
-    schema = "key string, label string, sums array<double>"
-    some = F.floor(F.spark_partition_id() / TASKS_ADDED)
-    partial = data.mapInArrow(partial_sums, schema).repartition("key", "label", some)
-    total = partial.mapInArrow(_add_up, schema).repartition("key", "label").mapInArrow(_add_up, schema).toArrow()
+    # one short row per task, key and label; its numbers are added up place by place,
+    # so that a single key, as of an unstratified model, is dealt to many tasks too
+    partial = data.mapInArrow(partial_sums, "key string, label string, sums array<double>")
+    each = partial.select("key", "label", F.posexplode("sums").alias("place", "number"))
+    total = each.groupBy("key", "label", "place").agg(F.sum("number").alias("number"))
+    return _gathered(total.toArrow())
+
+
+def _gathered(total) -> dict[tuple[Key, str], np.ndarray]:
+    """Vectors by key and label from rows (key, label, place, number), as many as a model's sums have."""
+    if not total.num_rows:
+        return {}
+    columns = total.combine_chunks()
+    key, label = (columns.column(i).combine_chunks().dictionary_encode() for i in range(2))
+    place, number = (columns.column(i).to_numpy() for i in (2, 3))
+    codes = key.indices.to_numpy().astype(np.int64) * len(label.dictionary) + label.indices.to_numpy()
+    order = np.lexsort((place, codes))
+    codes, number = codes[order], number[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     out = {}
-    for k, label, vector in zip(*[total.column(i).to_pylist() for i in range(2)], _vectors(total.column(2))):
+    for at, vector in zip(starts, np.split(number, starts[1:])):
+        k, name = divmod(int(codes[at]), len(label.dictionary))
         if np.isnan(vector).any():
             raise ValueError("missing values among the model columns; drop incomplete rows first")
-        out[tuple(k.split(SEPARATOR)), label] = vector
+        out[tuple(key.dictionary[k].as_py().split(SEPARATOR)), label.dictionary[name].as_py()] = vector
     return out
 
 
-def _add_up(batches):
-    totals: dict[tuple[str, str], np.ndarray] = {}
-    for batch in batches:
-        names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        for at, vector in zip(names, _vectors(batch.column(2))):
-            if at in totals:
-                totals[at] += vector
-            else:
-                totals[at] = vector.copy()
-    yield from _batches(totals)
-
-
-def _vectors(lists):
-    """The rows of a list column as NumPy slices."""
-    import pyarrow as pa
-
-    for chunk in lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]:
-        numbers = chunk.values.to_numpy(zero_copy_only=False)
-        ends = chunk.offsets.to_numpy()
-        for start, end in zip(ends[:-1], ends[1:]):
-            yield numbers[start:end]
-
-
 def _batches(totals: dict[tuple[str, str], np.ndarray]):
     import pyarrow as pa
 
