@@ -1,5 +1,7 @@
 """Joins, filters and columns of the panel."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalar import fixed_width, is_missing, joined_text, zero_if_missing
@@ -8,7 +10,7 @@ from emberframe.operators.grid import grid_by_timeline, with_centres
 from emberframe.operators.profile import count_by
 from emberframe.plans.codes import REGIONS as REGION_NAMES
 from emberframe.plans.codes import region_codes
-from emberframe.plans.panel_build import build_panel, model_columns
+from emberframe.plans.panel_build import bucketed, build_panel, model_columns
 
 from .fixtures import (
     BASE, BIOMES, CELLS, CONTINENTS, FIRST, GRID, INDIGENOUS, KEY, LAST, OBS, POPULATION, REGIONS, XY,
@@ -24,6 +26,24 @@ def full_panel(spark, folder):
     return build_panel(spark, panel_inputs(spark, folder), FIRST, LAST)
 
 
+@check(
+    "JN1 JN2 JN6 JN7",
+    PANEL
+    + """SELECT "Biomes", "IDL_Layer", "Year", count(*) AS n, CAST(sum("Duration") AS DOUBLE) AS duration, count("LAI") AS with_lai, count(nullif("LC_Crop", 0)) AS crops
+FROM panel GROUP BY ALL""",
+)
+def panel_from_buckets(spark, folder):
+    """The panel from layers written in buckets by cell, which no join shuffles."""
+    inputs = bucketed(spark, panel_inputs(spark, folder), f"layer_{uuid.uuid4().hex}", 8)
+    panel = build_panel(spark, inputs, FIRST, LAST)
+    return panel.groupBy("Biomes", "IDL_Layer", "Year").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("Duration").alias("duration"),
+        F.count("LAI").alias("with_lai"),
+        F.count(F.nullif("LC_Crop", F.lit(0))).alias("crops"),
+    )
+
+
 @check(
     "JN6 JN7 JN1 PF18 JN4 PF21 AG8",
     with_sql(

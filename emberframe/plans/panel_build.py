@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import GLOBAL, Grid, each_month, each_year, with_centres
 from ..operators.panel import (
+    CELL_KEY,
     MONTH_KEY,
     YEAR_KEY,
     fill_category,
@@ -49,7 +50,8 @@ class PanelInputs:
     per driver or response with its value in a column of that name. ``covers``:
     for each cover, its classes as (table, column) to be summed.
     ``indigenous``: cells of indigenous land. ``biomes``: col, row, Biomes.
-    ``continents``: col, row, Continent.
+    ``continents``: col, row, Continent. ``buckets``: into how many buckets by
+    cell the monthly and yearly tables are dealt, if they are (see ``bucketed``).
     """
 
     regions: DataFrame
@@ -60,6 +62,34 @@ class PanelInputs:
     biomes: DataFrame
     continents: DataFrame
     grid: Grid = field(default=GLOBAL)
+    buckets: int | None = None
+
+
+def bucketed(spark: SparkSession, inputs: PanelInputs, prefix: str, buckets: int) -> PanelInputs:
+    """The same inputs with every monthly and yearly table written in buckets by cell, as tables named after ``prefix``.
+
+    A panel is built from them without shuffling a layer: the cells are dealt once,
+    before the months exist, and each bucket of the panel meets the same bucket of
+    every table. Worth its one write where layers serve several panels or runs. The
+    session is told that tables dealt by cell need not be dealt again by month.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    written: dict[int, DataFrame] = {}
+
+    def dealt(name: str, table: DataFrame) -> DataFrame:
+        if id(table) not in written:
+            rows = table.drop("x", "y").repartition(buckets, *CELL_KEY)
+            rows.write.bucketBy(buckets, *CELL_KEY).sortBy(*CELL_KEY).mode("overwrite").saveAsTable(f"{prefix}_{name}")
+            written[id(table)] = spark.table(f"{prefix}_{name}")
+        return written[id(table)]
+
+    return replace(
+        inputs,
+        monthly={k: dealt(k, t) for k, t in inputs.monthly.items()},
+        yearly={k: dealt(k, t) for k, t in inputs.yearly.items()},
+        covers={k: [(dealt(c, t), c) for t, c in classes] for k, classes in inputs.covers.items()},
+        buckets=buckets,
+    )
 
 
 def land_cells(spark: SparkSession, inputs: PanelInputs) -> DataFrame:
@@ -84,7 +114,10 @@ def build_panel(spark: SparkSession, inputs: PanelInputs, first_year: int, last_
     tables then share one key, so the growing panel is shuffled once and only
     the right-hand sides follow.
     """
-    panel = each_year(land_cells(spark, inputs), first_year, last_year)
+    cells = land_cells(spark, inputs)
+    if inputs.buckets:
+        cells = cells.repartition(inputs.buckets, *CELL_KEY)
+    panel = each_year(cells, first_year, last_year)
     for name, table in inputs.yearly.items():
         panel = keep_known(panel, table, YEAR_KEY, name)
     panel = each_month(panel)

@@ -273,3 +273,28 @@ def test_shared_folder_is_required_on_a_cluster():
     assert shared_folder(Fake("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Fake("yarn"))
+
+
+def test_ascii_grid_over_several_splits(spark, tmp_path):
+    """One file is many tasks; lines need not be rows; centres instead of corners; an empty grid."""
+    rng = np.random.default_rng(2)
+    grid = np.round(rng.normal(size=(60, 40)), 3)
+    grid[rng.random(grid.shape) < 0.2] = -9999
+    words = [repr(float(v)) for v in grid.ravel()]
+    lines = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+    header = "NCOLS 40\nNROWS 60\nXLLCENTER 10.25\nYLLCENTER -0.75\nCELLSIZE 0.5\nNODATA_VALUE -9999\n"
+    (tmp_path / "a.asc").write_text(header + " \t" + "\r\n".join(lines) + "\n\n")
+    (tmp_path / "b.asc").write_text("ncols 2\nnrows 1\nxllcorner 0\nyllcorner 0\ncellsize 1\n5 nan\n")
+    (tmp_path / "c.asc").write_text("ncols 0\nnrows 0\nxllcorner 0\nyllcorner 0\ncellsize 1\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.text(str(tmp_path / "a.asc")).rdd.getNumPartitions() > 5
+        rows = ascii_grid.ascii_grids(spark, str(tmp_path), "*.asc").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    first = {(r.row, r.col): r for r in rows if r.path.endswith("a.asc")}
+    assert {k: r.value for k, r in first.items()} == {(i, j): v for (i, j), v in np.ndenumerate(grid) if v != -9999}
+    r = next(iter(first.values()))
+    assert (r.xll, r.yll, r.x, r.y) == (10.0, -1.0, 10.0 + (r.col + 0.5) * 0.5, -1.0 + (60 - r.row - 0.5) * 0.5)
+    assert [(r.col, r.row, r.value) for r in rows if r.path.endswith("b.asc")] == [(0, 0, 5.0)] and len(rows) == len(first) + 1

@@ -11,7 +11,7 @@ from emberframe.operators import panel as P
 from emberframe.operators import profile as R
 from emberframe.operators.grid import Grid, each_month, each_year, regrid_nearest
 from emberframe.operators.rasterize import rasterize
-from emberframe.plans.panel_build import build_panel
+from emberframe.plans.panel_build import bucketed, build_panel
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -85,3 +85,21 @@ def test_profiles_are_single_passes(large):
 def test_no_cross_joins(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_panel_from_buckets_shuffles_no_layer(large):
+    """Layers dealt by cell once are never dealt again by month; the cells are, before the months exist."""
+    inputs = bucketed(large, X.panel_inputs(large, FOLDER), "plan_layer", 4)
+    panel = build_panel(large, inputs, X.FIRST, X.LAST)
+    text = plan(panel)
+    assert len(re.findall(r"SortMergeJoin .*Month", text)) >= 24
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*(Month|Year)#", text)
+    assert "SelectedBucketsCount: 4 out of 4" in text
+    plain = build_panel(large, X.panel_inputs(large, FOLDER), X.FIRST, X.LAST)
+    assert panel.count() == plain.count() > 0
+
+
+def test_dimensions_leave_the_facts_in_place(spark):
+    """Small tables are broadcast: line items are not shuffled for a lookup."""
+    text = plan(X.model_rows(spark, FOLDER))
+    assert "Exchange hashpartitioning" not in text and text.count("BroadcastHashJoin") == 2
