@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +14,22 @@ HELD_OUT_REMAINDER = 2
 FOLDS = 4
 
 
+@lru_cache(maxsize=1)
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="emberframe-llm-")
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in a local test, gets a folder of
-    its own, which is then set so that the whole session uses it. A session
-    that is not local must bring the setting.
+    Only a local session without that setting, as in a test, gets a folder of
+    its own. A session that is not local must bring the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="emberframe-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _test_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

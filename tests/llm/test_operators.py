@@ -7,10 +7,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from checks.compare import differences
 from emberframe.llm import bpe, components, decontamination, exact_dedup, language, secrets, set_join, shared, token_files, tool_calls, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
@@ -183,6 +186,56 @@ def edited_items(least, most):
     return items, docs, similar
 
 
+def test_radius_is_wide_and_the_index_selects(spark):
+    """At similarity 0.8 fingerprints stay well within the radius; unrelated ones agree in far fewer blocks than it asks for."""
+    items, docs, similar = edited_items(0.8, 0.801)
+    place = lambda rows: spark.createDataFrame(rows, "id long, text string").select("id", decontamination.words("text").alias("t"))
+    prints = lambda df, cut: df.select("id", decontamination.shingles(cut, 5).alias("h")).select(
+        "id", decontamination.simhash(F.col("h"), F.transform("h", lambda x: F.lit(1.0))).alias("blocks")
+    )
+    ours = prints(place(docs), F.slice("t", F.lit(2), F.size("t") - 2)).toPandas().set_index("id").blocks
+    theirs = prints(place(items), F.col("t")).toPandas().set_index("id").blocks
+    bits = [sum(int(x ^ y).bit_count() for x, y in zip(ours[i], theirs[i])) for i in ours.index]
+    assert 30 < np.mean(bits) < 48 and max(bits) <= decontamination.RADIUS
+    assert decontamination.RADIUS > np.mean(bits) + 5 * np.std(bits)
+    agree = [sum(x == y for x, y in zip(ours[i], theirs[j])) for i in range(60) for j in range(60) if i != j]
+    assert np.mean(np.array(agree) >= decontamination.BLOCKS - decontamination.RADIUS) < 0.01
+
+
+def test_decontamination_of_odd_rows(spark):
+    """Repeated ids with other texts, missing ids, repeated item ids, clashing names, very long texts, empty tables."""
+    item = " ".join(f"t{k}" for k in range(25))
+    items = spark.createDataFrame([(1, item), (2, "first of two texts here now"), (2, "second of two texts is other"), (3, "x" * 9)], "item_id long, text string")
+    rows = [(1, "a " + item + " b", 1), (1, "clean words", 2), (None, item, 3), (None, "clean", 4), (4, "second of two texts is other", 5), (5, "filler " * 40_000 + item, 6), (6, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").withColumns({c: F.lit("x") for c in ("id", "digest", "item", "start", "n", "hash")})
+    found = decontamination.contaminated(docs, items).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=str) == sorted([(1, 1), (None, 1), (4, 2), (5, 1)], key=str)
+    assert next(r["start"] for r in found if r["doc_id"] == 5) == 40_000
+    kept = decontamination.without_benchmark(docs, items)
+    assert sorted(r["row"] for r in kept.collect()) == [2, 4, 7] and kept.columns == docs.columns
+    assert decontamination.contaminated(docs.limit(0), items).count() == 0
+    assert decontamination.contaminated(docs, items.limit(0)).count() == 0
+    assert decontamination.without_benchmark(docs, items.limit(0)).count() == 7
+
+
+def test_decontamination_weighs_by_the_benchmark(spark):
+    """Shingles that several items hold weigh less: compared with SQL on texts that share them."""
+    rng = random.Random(12)
+    shared_words = [f"s{k}" for k in range(12)]
+    items = [(i, " ".join(shared_words[: rng.randint(5, 12)] + [f"i{i}w{k}" for k in range(rng.randint(2, 9))])) for i in range(12)]
+    docs = []
+    for d in range(60):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"d{d}"
+        docs.append((d, " ".join([f"p{d}"] * rng.randint(0, 3) + words + ["q"] * rng.randint(0, 3))))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", items.toArrow())
+    assert differences(decontamination.contaminated(docs, items), con, decontamination.OP5_SQL) == []
+
+
 def test_decontamination_misses_no_edited_item(spark):
     items, docs, similar = edited_items(0.8, 0.801)
     assert len(similar) == 500
