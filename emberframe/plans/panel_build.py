@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import new_folder
 from ..operators.grid import GLOBAL, Grid, each_month, each_year, with_centres
 from ..operators.panel import (
     CELL_KEY,
@@ -79,7 +80,8 @@ def bucketed(spark: SparkSession, inputs: PanelInputs, prefix: str, buckets: int
     def dealt(name: str, table: DataFrame) -> DataFrame:
         if id(table) not in written:
             rows = table.drop("x", "y").repartition(buckets, *CELL_KEY)
-            rows.write.bucketBy(buckets, *CELL_KEY).sortBy(*CELL_KEY).mode("overwrite").saveAsTable(f"{prefix}_{name}")
+            stored = rows.write.bucketBy(buckets, *CELL_KEY).sortBy(*CELL_KEY).mode("overwrite")
+            stored.option("path", new_folder(spark, "layer")).saveAsTable(f"{prefix}_{name}")
             written[id(table)] = spark.table(f"{prefix}_{name}")
         return written[id(table)]
 
