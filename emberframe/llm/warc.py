@@ -61,10 +61,11 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     rows = pages.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("page"), url.alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("bytes")
     )
-    # Thin rows find the response of each digest; one digest may hold a third of them.
+    # Thin rows find the response of each digest that occurs again. These are written, so that
+    # the planner knows their size, and payloads move only where they are too many to send around.
     firsts = rows.filter(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max("page").alias("response"), F.count(F.lit(1)).alias("n"))
-    several = firsts.filter("n > 1").select("sha", "response")
-    marked = rows.join(several.hint("merge"), "sha", "left")
+    several = stored(firsts.filter("n > 1").select(F.unhex("sha").alias("digest"), "response"), "warc-repeated")
+    marked = rows.join(several, F.unhex("sha") == F.col("digest"), "left")
     revisit = F.col("response").isNotNull() & (F.col("response") != F.col("page"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, F.encode(http, "utf-8")).otherwise(F.concat(F.encode(http, "utf-8"), F.col("payload")))
