@@ -367,15 +367,18 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
     limit = boundary(classes, percent)
     rows = postings(classes, limit, percent)
+    # Most n-grams stand in one set; the counts of all, two numbers each, leave the others' members to be shuffled and kept.
+    several = rows.groupBy("key", "light").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(rows.join(stored(several, "near-keys"), ["key", "light"]), "near-members")
     heads = (
-        rows.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit((100 / percent) ** 2))))
+        members.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit((100 / percent) ** 2))))
         .groupBy("key", "light", "band")
-        .agg(F.min(F.struct("k", "size", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("k", "size", "at")).alias("first"))
     )
-    heads = heads.groupBy("key", "light").agg(F.sum("n").alias("n"), F.collect_set("first").alias("firsts")).filter("n > 1")
+    heads = heads.groupBy("key", "light").agg(F.collect_set("first").alias("firsts"))
     # A list has few bands, so its heads are few; each member meets those its size allows.
-    shared = stored(rows.join(heads.select("key", "light", "firsts"), ["key", "light"]), "near-lists")
-    members = shared.drop("firsts")
+    shared = members.join(heads, ["key", "light"])
+    members = members.drop("n")
     led = shared.withColumn("y", F.explode("firsts")).select(F.struct("k", "size", "at", "light").alias("x"), "y")
     stars = led.filter("x.k <> y.k").filter(may_link("x", "y", limit, percent)).select(*ordered(F.col("x.k"), F.col("y.k"))).distinct()
     first_pairs = stored(by_counts(stars, classes, percent), "near-pairs")
