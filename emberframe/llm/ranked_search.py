@@ -39,7 +39,7 @@ OWNERS = 4
 #: Items that share a bundle.
 BUNDLE = 256
 #: Bytes of text in a block; a longer text stands alone.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 # Terms, and the scale of contributions.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
