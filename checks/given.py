@@ -348,13 +348,13 @@ def stored_additive_models(spark, folder):
 )
 def gam_linear_limit(spark, folder):
     """With ever more smoothing an additive model becomes least squares on the driver."""
-    fits = fit_gam(order_rows(spark, folder), "y", ["v"], SEGMENT, factor=None, log_lambda=16.0)
+    fits = fit_gam(order_rows(spark, folder), "y", ["v"], SEGMENT, factor=None, log_lambda=20.0)
     rows = []
     for g in fits:
         knots, values = g.splines["v"].knots, g.at_knots("v")
         slope = (values[-1] - values[0]) / (knots[-1] - knots[0])
         rows.append((g.stratum, float(g.estimates()["(Intercept)"] + values[0]), float(slope * 1e4), float(g.r2), float(g.sigma2**0.5), float(g.edf)))
-    digits = {"at_first": 5, "slope": 5, "r2": 6, "sigma": 5, "edf": 4}
+    digits = {"at_first": 5, "slope": 5, "r2": 6, "sigma": 5, "edf": 3}
     table = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{c} double" for c in digits))
     return table.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
