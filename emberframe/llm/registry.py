@@ -22,6 +22,7 @@ QUERIES = {
 ORACLES = {
     "op4_tool_calls": tool_calls.OP4_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
+    "op6_jaccard_join": set_join.OP6_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op13_ranked_search": ranked_search.OP13_SQL,

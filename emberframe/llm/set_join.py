@@ -402,3 +402,15 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return join_sets(documents(spark, folder))
+
+
+#: Every two documents that share a shingle, counted; then whatever links reach.
+OP6_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i : i + 2], ' '))
+  WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS s FROM w)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN z USING (doc_id) GROUP BY doc_id"""
