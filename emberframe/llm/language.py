@@ -10,7 +10,8 @@ n-grams, times the landmarks, times the weights.
 The whole text counts: letters of either case are equal, and everything between
 letters is one gap. Letters that no common language of the sample uses share
 one class. Defined results: a text that is null, empty or without letters gets
-``und`` and 0; extra columns play no part; repeated rows get equal rows; with
+``und`` and 0; extra columns play no part and are kept, whatever their names (see
+``predict``); repeated rows get equal rows; with
 no learning rows at all every text is ``und``. Ties go to the language that
 sorts first.
 
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, held_out, id_share, may_learn
+from .shared import documents, drawn, held_out, id_share, may_learn
 from .words import slices
 
 UNDETERMINED = "und"
-#: Learning rows for each language and of each as many characters, at most.
+#: Learning rows for each language, at most.
 SAMPLE_ROWS = 300
-SAMPLE_CHARACTERS = 4000
+#: A learning text of up to 32 * 500 characters is learned whole, of a longer one so many pieces from all over it.
+PIECES, PIECE = 32, 500
 #: Texts that are scored by one product, whatever their length; a bound on memory that changes no result.
 TEXTS_AT_ONCE = 256
 #: Landmarks for each language.
@@ -200,7 +202,7 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     chosen: Column = wanted[0]
     for w in wanted[1:]:
         chosen = chosen | w
-    rows = usable.filter(chosen).select(share.alias("s"), F.substring(F.col(text_col), 1, SAMPLE_CHARACTERS).alias("t"), F.col(lang_col).alias("l")).collect()
+    rows = usable.filter(chosen).select(share.alias("s"), drawn(F.col(text_col), F.col(id_col), PIECES, PIECE).alias("t"), F.col(lang_col).alias("l")).collect()
     rows.sort(key=lambda r: (r["s"], r["t"]))
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
@@ -210,45 +212,66 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(texts, languages) if texts else None
 
 
-def predict(
-    docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", claimed_out: str | None = None
-) -> DataFrame:
+def judged(texts: pa.Array, model: Model | None, columns: np.ndarray | None, with_claims: bool) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and, if asked for, whether the language claims it, of each text."""
+    languages: list[str] = []
+    scores: list[float] = []
+    claimed: list[bool] = []
+    small = small_letters()
+    for run_of in slices(texts.cast(pa.string()).fill_null(""), 1_000_000):
+        run = run_of.to_pylist()
+        known = [any(small[ord(c)] for c in set(t)) for t in run]
+        starts = range(0, len(run), TEXTS_AT_ONCE)
+        parts = [model.score(run[i : i + TEXTS_AT_ONCE], columns) for i in starts] if model else []
+        values = np.concatenate(parts) if parts else np.zeros((len(run), 1))
+        for text, ok, k, v in zip(run, known, values.argmax(1).tolist(), values.max(1).tolist()):
+            good = ok and model is not None
+            languages.append(model.languages[k] if good else UNDETERMINED)
+            scores.append(min(1.0, max(0.0, (v + 1) / 2)) if good else 0.0)
+            if with_claims:
+                claimed.append(good and model.claims(text, k, columns))
+    return languages, scores, claimed
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as make it differ from those taken, in either case."""
+    while name.lower() in [t.lower() for t in taken]:
+        name += "_"
+    return name
+
+
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1 (0.5: neither for nor against).
 
-    ``claimed_out`` names a column that tells whether the text is in that language at all.
+    All columns of ``docs`` stay as they are. An added one whose name is taken gets underscores behind it.
     """
     from pyspark.sql import types as T
 
-    names = [lang_out, score_out, *([claimed_out] if claimed_out else [])]
-    kept = docs.drop(*names)
-    at = kept.columns.index(text_col)
-    kinds = [T.StringType(), T.DoubleType(), T.BooleanType()]
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+    lang_out = free_name(lang_out, docs.columns)
+    names = [lang_out, free_name(score_out, [*docs.columns, lang_out])]
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = model.columns() if model else None
-        small = small_letters()
         for batch in batches:
-            languages: list[str] = []
-            scores: list[float] = []
-            claimed: list[bool] = []
-            for run_of in slices(batch.column(at).cast(pa.string()).fill_null(""), 1_000_000):
-                texts = run_of.to_pylist()
-                known = [any(small[ord(c)] for c in set(t)) for t in texts]
-                starts = range(0, len(texts), TEXTS_AT_ONCE)
-                parts = [model.score(texts[i : i + TEXTS_AT_ONCE], columns) for i in starts] if model else []
-                values = np.concatenate(parts) if parts else np.zeros((len(texts), 1))
-                best = values.argmax(1)
-                for text, ok, k, v in zip(texts, known, best.tolist(), values.max(1).tolist()):
-                    good = ok and model is not None
-                    languages.append(model.languages[k] if good else UNDETERMINED)
-                    scores.append(min(1.0, max(0.0, (v + 1) / 2)) if good else 0.0)
-                    if claimed_out:
-                        claimed.append(good and model.claims(text, k, columns))
-            added = [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(claimed, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added[: len(names)]], [*batch.schema.names, *names])
-
-    return kept.mapInArrow(run, schema)
+            languages, scores, _ = judged(batch.column(at), model, columns, False)
+            added = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def claimed_rows(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text is in its predicted language at all."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = model.columns() if model else None
+        for batch in batches:
+            yield batch.filter(pa.array(judged(batch.column(at), model, columns, True)[2], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -60,5 +60,18 @@ def id_share(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def drawn(text: Column, key: Column, pieces: int, size: int) -> Column:
+    """A whole text of up to ``pieces`` times ``size`` characters; of a longer one so many pieces.
+
+    The pieces lie anywhere in the text: a digest of the row's key and the piece's number
+    chooses them. They keep their order, with a space between.
+    """
+    last = (F.ceil(F.length(text) / F.lit(size)) - 1).cast("int")
+    lots = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.xxhash64(key, k).alias("lot"), k.alias("k")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(lots), 1, pieces), lambda x: x["k"]))
+    cut = F.array_join(F.transform(chosen, lambda k: F.substr(text, k * F.lit(size) + 1, F.lit(size))), " ")
+    return F.when(F.length(text) <= pieces * size, text).otherwise(cut)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")

@@ -13,7 +13,7 @@ both random and highest ones as clean. At scoring, the input weights are applied
 once per distinct word, so that a window costs only its recurrent steps.
 
 Letters count in lower case. Defined results: a text that is null, empty or
-without words scores as one empty window; rows with equal texts score equally;
+without words holds no toxic passage and scores 0; rows with equal texts score equally;
 extra columns play no part; with no toxic or no clean learning rows every text
 scores 0.
 """
@@ -29,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, held_out, id_share, may_learn
+from .shared import documents, drawn, held_out, id_share, may_learn
 from .words import Remembered, slices
 
-#: Learning rows of either label, and characters of each, at most.
-SAMPLE_ROWS = 2000
-SAMPLE_CHARACTERS = 4000
+#: Learning rows of either label, at most.
+SAMPLE_ROWS = 2500
+#: A learning text of up to 32 * 500 characters is learned whole, of a longer one so many pieces from all over it.
+PIECES, PIECE = 32, 500
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDED, ATTENDED = 6, 4, 6
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 20  # of evidence
@@ -366,7 +367,9 @@ class Scorer:
         rows = np.where(present, numbers[np.minimum(place, len(numbers) - 1)], len(words))
         best = np.full(len(starts), -30.0)
         np.maximum.at(best, of_text, score_windows(self.net, gates, rows, present))
-        return sigmoid(best)
+        # A text without words comes as one empty word.
+        wordless = pc.equal(pc.list_element(lists, 0), "").to_numpy(zero_copy_only=False)
+        return np.where(wordless, 0.0, sigmoid(best))
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
@@ -378,8 +381,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     share = id_share(F.col("i"))
     chosen = usable.filter(((F.col("y") == 0) & (share < SAMPLE_ROWS / sizes[0])) | ((F.col("y") == 1) & (share < SAMPLE_ROWS / sizes[1])))
     few = F.broadcast(chosen.distinct())  # about 2 * SAMPLE_ROWS rows, whatever the corpus
-    joined = docs.select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, SAMPLE_CHARACTERS).alias("t")).join(few, "i")
-    rows = joined.select(id_share(F.col("i")).alias("s"), F.coalesce("t", F.lit("")).alias("t"), "y").collect()
+    worded = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").rlike(r"[\p{L}\p{N}]"))
+    rows = worded.join(few, "i").select(id_share(F.col("i")).alias("s"), drawn(F.col("t"), F.col("i"), PIECES, PIECE).alias("t"), "y").collect()
     rows.sort(key=lambda r: (r["s"], r["t"], r["y"]))
     return [r["t"] for r in rows], [int(r["y"]) for r in rows]
 
