@@ -3,7 +3,9 @@
 Texts are equal when they agree after white space (space, tab to carriage
 return) is deleted. The index is a table bucketed and sorted by digest: new
 digests are found by a sort-merge anti-join with it and appended, so a later
-batch compares with everything seen so far without reading old texts.
+batch compares with everything seen so far without reading old texts. Each digest
+carries the batch that brought it, so a batch that is run again, after it was lost
+between the append and its own results, finds its texts as new as the first time.
 
 Defined results: a null text counts as empty; empty texts equal each other;
 an id of null loses every tie; rows that repeat an id and an equal text are
@@ -31,7 +33,7 @@ def text_digest(text: Column) -> Column:
 
 @dataclass
 class DigestIndex:
-    """A bucketed table (digest, keep_id), one row for each digest seen."""
+    """A bucketed table (digest, keep_id, batch), one row for each digest seen."""
 
     spark: SparkSession
     table: str
@@ -44,7 +46,7 @@ class DigestIndex:
         path = path or scratch_folder(spark, "digest-index")
         index = cls(spark, f"digest_index_{uuid.uuid4().hex}", path, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         spark.sql(
-            f"CREATE TABLE {index.table} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CREATE TABLE {index.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{path}'"
         )
         return index
@@ -63,9 +65,9 @@ class DigestIndex:
         return found.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, fresh: DataFrame) -> None:
-        """Add rows (digest, keep_id); the caller has made sure that they are unseen."""
+        """Add rows (digest, keep_id, batch); the caller has made sure that they are unseen."""
         (
-            fresh.select("digest", "keep_id")
+            fresh.select("digest", "keep_id", "batch")
             .repartition(self.buckets, "digest")
             .write.mode("append")
             .format("parquet")
@@ -100,28 +102,29 @@ def groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def resolve(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def resolve(
+    docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Append what is new in ``docs``; return its rows and its groups.
 
     rows: (id, digest, chars); groups: (digest, keep_id, size, keep_rows), where
     keep_id is that of an earlier batch if one had the text, and keep_rows then 0.
+    ``batch`` names these rows; a second run under the same name gives the same
+    result. Without a name every run is a batch of its own.
     """
+    batch = batch or uuid.uuid4().hex
     rows = stored(digest_rows(docs, id_col, text_col), "digests")
     found = stored(groups(rows), "digest-groups")
     fresh = stored(index.unseen(found), "digest-fresh")
-    index.append(fresh.withColumnRenamed("best_id", "keep_id"))
-    is_new = fresh.select("digest", F.lit(True).alias("new"))
-    kept = (
-        found.join(is_new, "digest", "left")
-        .join(index.rows(), "digest")
-        .select("digest", "keep_id", "size", F.when(F.col("new"), F.col("best_rows")).otherwise(F.lit(0)).alias("keep_rows"))
-    )
+    index.append(fresh.withColumnRenamed("best_id", "keep_id").withColumn("batch", F.lit(batch)))
+    is_new = F.col("batch") == F.lit(batch)
+    kept = found.join(index.rows(), "digest").select("digest", "keep_id", "size", F.when(is_new, F.col("best_rows")).otherwise(F.lit(0)).alias("keep_rows"))
     return rows, stored(kept, "digest-kept")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """(id_col, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
-    rows, kept = resolve(docs, index, id_col, text_col)
+    rows, kept = resolve(docs, index, id_col, text_col, batch)
     # Thin rows on either side; a digest with very many rows is split by the skew join.
     joined = rows.join(kept.hint("merge"), "digest")
     return joined.select(
@@ -133,9 +136,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
-def without_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, once each, with their own columns."""
-    _, kept = resolve(docs, index, id_col, text_col)
+    _, kept = resolve(docs, index, id_col, text_col, batch)
     names = docs.columns
     keep = kept.filter("keep_rows > 0").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"))
     marked = docs.withColumn("__own", text_digest(F.col(text_col)))
