@@ -2,8 +2,9 @@
 
 Three base patterns give spans that always count. A wider pattern gives further
 candidates, which count only if their value is owner-specific: over the whole
-corpus, its digest occurs with one owner. The same frequency sorts base values
-into widely copied examples and those that look live. Everything is DataFrame
+corpus, its digest occurs with one owner, and in so few repositories that it was not
+copied from one to the next. The same frequencies sort base values into widely
+copied examples (many owners, or many repositories) and those that look live. Everything is DataFrame
 functions; the only rows that are shuffled are digests, owners and spans.
 
 Spans are code points, end exclusive. Defined results: a null text is empty;
@@ -27,8 +28,10 @@ BASE_KINDS = (
 )
 #: The added kind; a candidate also holds a letter and a digit and touches no base span.
 ADDED = ("owned", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
-#: From so many owners on, a value is a widely copied example.
-WIDELY = 3
+#: From so many owners or repositories on, a value is a widely copied example.
+WIDELY, WIDELY_KEPT = 3, 6
+#: A value is owner-specific with one owner and up to so many repositories.
+OWN_REPOSITORIES = 3
 
 
 def spans_of(text: Column, number: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -95,6 +98,14 @@ def candidate_spans(docs: DataFrame, id_col: str, text_col: str, owner: Column,
     )
 
 
+def owner_specific() -> Column:
+    return (F.col("owners") == 1) & (F.col("repositories") <= OWN_REPOSITORIES)
+
+
+def widely_copied() -> Column:
+    return (F.col("owners") >= WIDELY) | (F.col("repositories") >= WIDELY_KEPT)
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """(digest, owners, repositories): distinct ones over all rows.
 
@@ -108,15 +119,20 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
-    """One row for each row of ``docs``: counts, spans and how its values are owned."""
+    """One row for each row of ``docs``: counts, spans and how its values are owned.
+
+    most_owners and most_repositories are those of its most copied base value.
+    """
     found = stored(candidate_spans(docs, id_col, text_col, owner, repository), "secret-spans")
     spans = found.select("row", F.explode(F.concat("base", "further")).alias("span")).select("row", "span", F.col("span.digest").alias("digest"))
     is_base = F.col("span.number") < len(BASE_KINDS)
     owned = spans.join(ownership(found).hint("merge"), "digest")
     judged = owned.groupBy("row").agg(
-        F.collect_list(F.when(~is_base & (F.col("owners") == 1), F.col("span"))).alias("added"),
-        F.count_if(is_base & (F.col("owners") == 1)).alias("n_live"),
-        F.count_if(is_base & (F.col("owners") >= WIDELY)).alias("n_copied"),
+        F.collect_list(F.when(~is_base & owner_specific(), F.col("span"))).alias("added"),
+        F.count_if(is_base & owner_specific()).alias("n_live"),
+        F.count_if(is_base & widely_copied()).alias("n_copied"),
+        F.max(F.when(is_base, F.col("owners"))).alias("most_owners"),
+        F.max(F.when(is_base, F.col("repositories"))).alias("most_repositories"),
     )
     joined = found.join(judged, "row", "left")
 
@@ -132,6 +148,8 @@ def find_secrets(docs: DataFrame, id_col: str, text_col: str, owner: Column, rep
         printed(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))).alias("spans"),
         F.coalesce("n_live", none).alias("n_live"),
         F.coalesce("n_copied", none).alias("n_copied"),
+        F.coalesce("most_owners", none).alias("most_owners"),
+        F.coalesce("most_repositories", none).alias("most_repositories"),
     )
 
 
@@ -165,19 +183,21 @@ WITH d AS (
   WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_no = f.row_no AND b.s < f.e AND b.e > f.s)
 ), spans AS (SELECT * FROM base UNION ALL SELECT * FROM further),
-freq AS (SELECT v, count(DISTINCT owner) AS owners FROM spans JOIN d USING (row_no) GROUP BY v),
+freq AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM spans JOIN d USING (row_no) GROUP BY v),
 judged AS (SELECT * FROM spans JOIN freq USING (v)),
 per_row AS (
   SELECT row_no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,
          {_LIST} FILTER (number < {len(BASE_KINDS)}) AS base_list,
-         {_LIST} FILTER (number < {len(BASE_KINDS)} OR owners = 1) AS all_list,
-         count(*) FILTER (number < {len(BASE_KINDS)} AND owners = 1) AS n_live,
-         count(*) FILTER (number < {len(BASE_KINDS)} AND owners >= {WIDELY}) AS n_copied
+         {_LIST} FILTER (number < {len(BASE_KINDS)} OR (owners = 1 AND repositories <= {OWN_REPOSITORIES})) AS all_list,
+         count(*) FILTER (number < {len(BASE_KINDS)} AND owners = 1 AND repositories <= {OWN_REPOSITORIES}) AS n_live,
+         count(*) FILTER (number < {len(BASE_KINDS)} AND (owners >= {WIDELY} OR repositories >= {WIDELY_KEPT})) AS n_copied,
+         max(owners) FILTER (number < {len(BASE_KINDS)}) AS most_owners, max(repositories) FILTER (number < {len(BASE_KINDS)}) AS most_repositories
   FROM judged GROUP BY row_no
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base_list, '')) AS base_sha256, coalesce(all_list, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN per_row USING (row_no)
 """
