@@ -5,16 +5,17 @@ within the conversation, a call may name one earlier call that it comes after.
 Calls and results are hash-joined by identifier. A message then has at most one
 message that must precede it, and pointer doubling finds for all of them at
 once how many precede it and the latest turn among these: sorting by
-(order_turn, depth, turn) is a topological order, also where a result stands
+(order_turn, depth, turn, key) is a topological order, also where a result stands
 before its call. Arguments are checked against a schema per tool, and every
 message becomes one line of canonical JSON: keys sorted, no spaces, no nulls.
 
 Defined results: the first of several calls with one identifier (by turn) owns
 it, the others are "repeated call"; a result without a call is "orphan", a call
 without a result "unanswered"; a chain that leads back to itself, and all that
-hangs on it, is "cyclic" and keeps its own turn; rows that repeat a conversation
-and turn are one message, the least by role and text, with their number in
-``copies``; rows without conversation or turn are passed on as "unplaced".
+hangs on it, is "cyclic" and keeps its own turn; rows that agree in all fields are
+one message, with their number in ``copies``; differing messages of one turn all
+stay, in the order of the digests of their roles, then texts; rows without
+conversation or turn are passed on as "unplaced".
 A null text is the empty text.
 """
 
@@ -57,45 +58,54 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def message_key(fields: list[str]) -> Column:
+    """Digests of role, text and all fields: tells messages of one turn apart, and orders them."""
+    digests = [F.sha2(F.coalesce(c, F.lit("")), 256) for c in ("role", "content")]
+    return F.concat(*digests, F.sha2(F.to_json(F.struct(*fields)), 256))
+
+
 def link(messages: DataFrame) -> DataFrame:
-    """Adds ``parent`` (turn of the message that must precede) and ``status``.
+    """Adds ``parent`` (place of the message that must precede) and ``status``.
 
-    messages: (conv, turn, kind, call_id, after, ...), one row per conv and turn.
+    messages: (conv, place, kind, call_id, after, ...), one row per conv and place;
+    a place is (turn, key).
     """
-    own = messages.filter("kind = 'call' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min("turn").alias("call_turn"))
-    answers = messages.filter("kind = 'result' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min("turn").alias("result_turn"))
+    own = messages.filter("kind = 'call' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min("place").alias("call_place"))
+    answers = messages.filter("kind = 'result' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min("place").alias("result_place"))
     owned = stored(own.join(answers, ["conv", "call_id"], "left"), "tool-calls")
     # Identifiers are unique in ``owned``, so its partitions make even hash tables.
     linked = messages.join(owned.hint("shuffle_hash"), ["conv", "call_id"], "left")
-    before = owned.select("conv", F.col("call_id").alias("after"), F.coalesce("result_turn", "call_turn").alias("after_turn"))
+    before = owned.select("conv", F.col("call_id").alias("after"), F.coalesce("result_place", "call_place").alias("after_place"))
     linked = linked.join(before.hint("shuffle_hash"), ["conv", "after"], "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
-    parent = F.when(is_result, F.col("call_turn")).when(is_call & (F.col("turn") == F.col("call_turn")), F.col("after_turn"))
+    first = F.col("place") == F.col("call_place")
+    parent = F.when(is_result, F.col("call_place")).when(is_call & first, F.col("after_place"))
     status = (
-        F.when(is_result & F.col("call_turn").isNull(), "orphan")
+        F.when(is_result & F.col("call_place").isNull(), "orphan")
         .when(is_result, "answer")
         .when(is_call & F.col("call_id").isNull(), "no identifier")
-        .when(is_call & (F.col("turn") != F.col("call_turn")), "repeated call")
-        .when(is_call & F.col("result_turn").isNull(), "unanswered")
+        .when(is_call & ~first, "repeated call")
+        .when(is_call & F.col("result_place").isNull(), "unanswered")
         .when(is_call, "answered")
         .otherwise("plain")
     )
-    return linked.withColumn("parent", parent).withColumn("status", status).drop("call_turn", "result_turn", "after_turn")
+    return linked.withColumn("parent", parent).withColumn("status", status).drop("call_place", "result_place", "after_place")
 
 
 def ordered(linked: DataFrame) -> DataFrame:
-    """(conv, turn, order_turn, depth, cyclic) of each message, by pointer doubling."""
-    now = stored(linked.select("conv", "turn", F.col("parent").alias("at"), F.col("turn").alias("latest"), F.col("parent").isNotNull().cast("int").alias("steps")), "tool-order")
+    """(conv, place, order_turn, depth, cyclic) of each message, by pointer doubling."""
+    steps = F.col("parent").isNotNull().cast("int")
+    now = stored(linked.select("conv", "place", F.col("parent").alias("at"), F.col("place.turn").alias("latest"), steps.alias("steps")), "tool-order")
     longest = now.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
     # After k rounds a pointer is 2**k steps long; past the longest conversation only cycles are left.
     while reach <= 2 * longest and not now.filter("at IS NOT NULL").isEmpty():
-        onward = now.select("conv", F.col("turn").alias("at"), F.col("at").alias("next"), F.col("latest").alias("more"), F.col("steps").alias("further"))
+        onward = now.select("conv", F.col("place").alias("at"), F.col("at").alias("next"), F.col("latest").alias("more"), F.col("steps").alias("further"))
         jumped = now.join(onward, ["conv", "at"], "left")
         now = stored(
             jumped.select(
                 "conv",
-                "turn",
+                "place",
                 F.col("next").alias("at"),
                 F.greatest("latest", "more").alias("latest"),
                 (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
@@ -106,8 +116,8 @@ def ordered(linked: DataFrame) -> DataFrame:
     cyclic = F.col("at").isNotNull()
     return now.select(
         "conv",
-        "turn",
-        F.when(cyclic, F.col("turn")).otherwise(F.col("latest")).alias("order_turn"),
+        "place",
+        F.when(cyclic, F.col("place.turn")).otherwise(F.col("latest")).alias("order_turn"),
         F.when(cyclic, 0).otherwise(F.col("steps")).cast("long").alias("depth"),
         cyclic.alias("cyclic"),
     )
@@ -121,12 +131,14 @@ def format_messages(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """
     placed = messages.filter("conv IS NOT NULL AND turn IS NOT NULL")
     fields = ["kind", "role", "content", "call_id", "after", "name", "arguments"]
-    one = placed.groupBy("conv", "turn").agg(F.min(F.struct(*fields)).alias("m"), F.count(F.lit(1)).alias("copies"))
-    one = stored(one.select("conv", "turn", "copies", "m.*"), "tool-messages")
-    linked = stored(link(one.select("conv", "turn", "kind", "call_id", "after")), "tool-links")
-    placing = linked.select("conv", "turn", "status").join(ordered(linked), ["conv", "turn"])
-    rows = one.join(placing, ["conv", "turn"])
-    rows = rows.withColumn("status", F.when(F.col("cyclic"), "cyclic").otherwise(F.col("status"))).drop("cyclic")
+    # The key holds a digest of all fields, so rows with one key are copies of each other.
+    keyed = placed.withColumn("place", F.struct("turn", message_key(fields).alias("key")))
+    one = keyed.groupBy("conv", "place").agg(*[F.first(f).alias(f) for f in fields], F.count(F.lit(1)).alias("copies"))
+    one = stored(one, "tool-messages")
+    linked = stored(link(one.select("conv", "place", "kind", "call_id", "after")), "tool-links")
+    placing = linked.select("conv", "place", "status").join(ordered(linked), ["conv", "place"])
+    rows = one.join(placing, ["conv", "place"]).withColumn("turn", F.col("place.turn"))
+    rows = rows.withColumn("status", F.when(F.col("cyclic"), "cyclic").otherwise(F.col("status"))).drop("cyclic", "place")
     loose = messages.filter("conv IS NULL OR turn IS NULL").select(
         "conv", "turn", F.lit(1).cast("long").alias("copies"), *fields, F.lit("unplaced").alias("status"), F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("depth")
     )
@@ -181,35 +193,37 @@ def op4_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP4_SQL = rf"""
-WITH RECURSIVE m AS (
-  SELECT conv_id, turn, count(*) AS copies, min({{'kind': CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END,
-         'role': role, 'content': coalesce(text, '')}}) AS m
-  FROM conversations GROUP BY conv_id, turn
-), r AS (
-  SELECT conv_id, turn, copies, m.kind AS kind, m.role AS role, m.content AS content,
-         CASE m.kind WHEN 'call' THEN turn WHEN 'result' THEN turn - 1 END AS own
-  FROM m
-), l AS (
-  SELECT r.*, p.kind AS prev_kind, n.kind AS next_kind, b.kind AS before_kind
-  FROM r LEFT JOIN r p ON p.conv_id = r.conv_id AND p.turn = r.turn - 1
-         LEFT JOIN r n ON n.conv_id = r.conv_id AND n.turn = r.turn + 1
-         LEFT JOIN r b ON b.conv_id = r.conv_id AND b.turn = r.turn - 2
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS content, count(*) AS copies,
+         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS k,
+         CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS own
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), calls AS (
+  SELECT conv_id, own, min(k) AS k FROM r WHERE kind = 'call' GROUP BY ALL
+), answers AS (
+  SELECT conv_id, own, min(k) AS k FROM r WHERE kind = 'result' GROUP BY ALL
 ), g AS (
-  SELECT *, CASE WHEN kind = 'result' AND prev_kind = 'call' THEN turn - 1
-                 WHEN kind = 'call' AND before_kind = 'call' THEN CASE WHEN prev_kind = 'result' THEN turn - 1 ELSE turn - 2 END END AS parent
-  FROM l
+  SELECT r.*, c.k AS call_k, a.k AS answer_k,
+         CASE WHEN r.kind = 'result' AND c.k IS NOT NULL THEN r.turn - 1
+              WHEN r.kind = 'call' AND r.k = c.k AND b.k IS NOT NULL THEN CASE WHEN ba.k IS NOT NULL THEN r.turn - 1 ELSE r.turn - 2 END END AS parent,
+         CASE WHEN r.kind = 'result' THEN c.k WHEN r.kind = 'call' THEN coalesce(ba.k, b.k) END AS parent_k
+  FROM r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.own = r.own
+         LEFT JOIN answers a ON a.conv_id = r.conv_id AND a.own = r.own
+         LEFT JOIN calls b ON r.kind = 'call' AND b.conv_id = r.conv_id AND b.own = r.turn - 2
+         LEFT JOIN answers ba ON r.kind = 'call' AND ba.conv_id = r.conv_id AND ba.own = r.turn - 2
 ), d AS (
-  SELECT conv_id, turn, 0::BIGINT AS depth FROM g WHERE parent IS NULL
+  SELECT conv_id, turn, k, 0::BIGINT AS depth FROM g WHERE parent IS NULL
   UNION ALL
-  SELECT g.conv_id, g.turn, d.depth + 1 FROM g JOIN d ON g.conv_id = d.conv_id AND g.parent = d.turn
+  SELECT g.conv_id, g.turn, g.k, d.depth + 1 FROM g JOIN d ON g.conv_id = d.conv_id AND g.parent = d.turn AND g.parent_k = d.k
 ), w AS (
   SELECT g.*, depth, len(regexp_extract_all(content, '\S+')) AS words,
          'c' || conv_id || '-' || own AS call_id, CASE WHEN kind = 'call' AND turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after_id
-  FROM g JOIN d USING (conv_id, turn)
+  FROM g JOIN d USING (conv_id, turn, k)
 )
 SELECT conv_id, turn, kind, call_id,
-       CASE WHEN kind = 'result' AND prev_kind = 'call' THEN 'answer' WHEN kind = 'result' THEN 'orphan'
-            WHEN kind = 'call' AND next_kind = 'result' THEN 'answered' WHEN kind = 'call' THEN 'unanswered' ELSE 'plain' END AS status,
+       CASE WHEN kind = 'result' THEN CASE WHEN call_k IS NULL THEN 'orphan' ELSE 'answer' END
+            WHEN kind = 'call' THEN CASE WHEN k <> call_k THEN 'repeated call' WHEN answer_k IS NULL THEN 'unanswered' ELSE 'answered' END ELSE 'plain' END AS status,
        turn AS order_turn, depth,
        CASE WHEN kind = 'call' AND words >= {LONG} THEN 'summary is missing' ELSE '' END AS errors, copies,
        '{{' || CASE WHEN after_id IS NOT NULL THEN '"after":"' || after_id || '",' ELSE '' END
