@@ -20,6 +20,7 @@ QUERIES = {
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 ORACLES = {
+    "op3_warc": warc.OP3_SQL,
     "op4_tool_calls": tool_calls.OP4_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
     "op6_jaccard_join": set_join.OP6_SQL,

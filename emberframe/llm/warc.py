@@ -13,9 +13,10 @@ marked candidates point at. Payloads are digested where they are read; only
 records whose payload holds a magic are put together in a second pass.
 
 Defined results: a null html is the empty payload; a null or empty URL is
-``about:blank``; rows that repeat a page id are one record each, of which at
-most one is a response; rows without an id get no record; extra columns play
-no part. Archives are cut between records, so an unfinished last record of a
+``about:blank``; rows that repeat a page id are one record each, and responses
+alike if they repeat the payload too; rows without an id get a record without a
+number, which revisits the largest id of its payload or, where there is none, is a
+response; extra columns play no part. Archives are cut between records, so an unfinished last record of a
 file is left out.
 """
 
@@ -58,7 +59,7 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     url = F.when(F.coalesce(F.trim(url_col), F.lit("")) == "", F.lit("about:blank")).otherwise(F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7F]", "_"))
-    rows = pages.filter(F.col(id_col).isNotNull()).select(
+    rows = pages.select(
         F.col(id_col).cast("long").alias("page"), url.alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("bytes")
     )
     # Thin rows find the response of each digest that occurs again. These are written, so that
@@ -66,7 +67,7 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     firsts = rows.filter(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max("page").alias("response"), F.count(F.lit(1)).alias("n"))
     several = stored(firsts.filter("n > 1").select(F.unhex("sha").alias("digest"), "response"), "warc-repeated")
     marked = rows.join(several, F.unhex("sha") == F.col("digest"), "left")
-    revisit = F.col("response").isNotNull() & (F.col("response") != F.col("page"))
+    revisit = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, F.encode(http, "utf-8")).otherwise(F.concat(F.encode(http, "utf-8"), F.col("payload")))
     refers = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("response").cast("string"), F.lit(">\r\n"))
@@ -74,7 +75,7 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
         F.lit(MAGIC + "WARC-Type: "),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: <urn:page:"),
-        F.col("page").cast("string"),
+        F.coalesce(F.col("page").cast("string"), F.lit("")),
         F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
@@ -213,3 +214,18 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"),
         F.when(revisit, F.col("refers").try_cast("long")).alias("refers_to"),
     )
+
+
+OP3_SQL = rf"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), t AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('{BASE32}',
+         1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM t
+"""
