@@ -20,8 +20,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without letters and those that no learned language claims."""
-    model = language.train(docs)
-    return language.predict(docs, model, claimed_out="claimed").filter("claimed").select(*docs.columns)
+    return language.claimed_rows(docs, language.train(docs))
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
