@@ -226,11 +226,10 @@ SELECT conv_id, turn, kind, call_id,
             WHEN kind = 'call' THEN CASE WHEN k <> call_k THEN 'repeated call' WHEN answer_k IS NULL THEN 'unanswered' ELSE 'answered' END ELSE 'plain' END AS status,
        turn AS order_turn, depth,
        CASE WHEN kind = 'call' AND words >= {LONG} THEN 'summary is missing' ELSE '' END AS errors, copies,
-       '{{' || CASE WHEN after_id IS NOT NULL THEN '"after":"' || after_id || '",' ELSE '' END
-       || CASE WHEN kind = 'call' THEN '"call":{{"arguments":{{"text":' || to_json(content)::VARCHAR || ',"words":' || words || '}},"name":"'
-               || CASE WHEN words >= {LONG} THEN 'ask_long' ELSE 'ask' END || '"}},' ELSE '' END
-       || CASE WHEN call_id IS NOT NULL THEN '"call_id":"' || call_id || '",' ELSE '' END
-       || CASE WHEN kind <> 'call' THEN '"content":' || to_json(content)::VARCHAR || ',' ELSE '' END
-       || '"role":' || to_json(role)::VARCHAR || '}}' AS json
+       '{{' || concat_ws(',', '"after":"' || after_id || '"',
+         CASE WHEN kind = 'call' THEN '"call":{{"arguments":{{"text":' || to_json(content)::VARCHAR || ',"words":' || words || '}},"name":"'
+              || CASE WHEN words >= {LONG} THEN 'ask_long' ELSE 'ask' END || '"}}' END,
+         '"call_id":"' || call_id || '"', CASE WHEN kind <> 'call' THEN '"content":' || to_json(content)::VARCHAR END,
+         '"role":' || to_json(role)::VARCHAR) || '}}' AS json
 FROM w
 """

@@ -13,7 +13,8 @@ both random and highest ones as clean. At scoring, the input weights are applied
 once per distinct word, so that a window costs only its recurrent steps.
 
 Letters count in lower case. Defined results: a text that is null, empty or
-without words holds no toxic passage and scores 0; rows with equal texts score equally;
+without words holds no toxic passage and scores 0; rows with equal texts score equally
+(to seven digits, as sums are in single precision);
 extra columns play no part; with no toxic or no clean learning rows every text
 scores 0.
 """
