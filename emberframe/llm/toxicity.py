@@ -45,6 +45,8 @@ GRAMS = (3, 4, 5)
 STEPS, BATCH, RATE = 300, 480, 0.02
 EVIDENCE_FOLDS = 3
 EMBEDDING_RATE = 0.02  # of RATE; few texts hold any one word, so these learn slowly
+#: Learning words that are hashed or given inputs at once; a bound on memory that changes no result.
+WORDS_AT_ONCE = 1 << 13
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
 
@@ -84,6 +86,16 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_buckets.astype(np.int64), flat[order], starts
 
 
+def hashed_in_blocks(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``hashed``, with the steps of one block of words at a time in memory."""
+    parts = []
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        word, grams, starts = hashed(words[a : a + WORDS_AT_ONCE])
+        parts.append((word.astype(np.int32), grams.astype(np.int32), starts))
+    before = np.cumsum([0, *[len(grams) for _, grams, _ in parts]])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + n for p, n in zip(parts, before)])
+
+
 def owner_position(length: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... within each word."""
     first = np.cumsum(length) - length
@@ -228,7 +240,7 @@ def sample_of(texts: list[str], labels: list[int]) -> Sample:
 
 
 def train_network(sample: Sample, seed: int = 7) -> Network:
-    word, grams, starts = hashed(sample.words)
+    word, grams, starts = hashed_in_blocks(sample.words)
     ends = np.append(starts, len(grams))
     gram_sets = [grams[a:b] for a, b in zip(ends, ends[1:])]
     # Evidence on a learning text comes from the texts of other folds, as it does for a new text.
@@ -305,7 +317,8 @@ def train_network(sample: Sample, seed: int = 7) -> Network:
 
 def score_rows(net: Network, words: list[str], rows: np.ndarray) -> np.ndarray:
     """Log odds of windows given as word numbers, -1 where a window has ended."""
-    table = net.gates(net.inputs([*words, ""])[0])
+    known = [*words, ""]
+    table = np.concatenate([net.gates(net.inputs(known[a : a + WORDS_AT_ONCE])[0]) for a in range(0, len(known), WORDS_AT_ONCE)])
     return score_windows(net, table, np.where(rows >= 0, rows, len(words)), rows >= 0)
 
 

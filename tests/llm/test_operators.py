@@ -543,7 +543,10 @@ def test_empty_texts_are_not_toxic(spark, size):
     assert toxicity.Scorer(net).score(pa.array(["", " ... ", "\t"])).tolist() == [0.0, 0.0, 0.0]
 
 
-def test_toxicity_tokens_and_windows_by_force():
+def test_toxicity_tokens_and_windows_by_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 2)
+    several = ["one", "", "three", "x" * 40, "é"]
+    assert all((a == b).all() for a, b in zip(toxicity.hashed(several), toxicity.hashed_in_blocks(several)))
     texts = ["Ab-c 1d", "", "É_x!", "one"]
     assert toxicity.tokens(pa.array(texts)).to_pylist() == [re.findall(r"[^\W_]+", t.lower()) or [""] for t in texts]
     for n in range(1, 200):
