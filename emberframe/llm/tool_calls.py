@@ -14,7 +14,7 @@ it, the others are "repeated call"; a result without a call is "orphan", a call
 without a result "unanswered"; a chain that leads back to itself, and all that
 hangs on it, is "cyclic" and keeps its own turn; rows that agree in all fields are
 one message, with their number in ``copies``; differing messages of one turn all
-stay, in the order of the digests of their roles, then texts; rows without
+stay, in the order of the digests of their roles and texts; rows without
 conversation or turn are passed on as "unplaced".
 A null text is the empty text.
 """
@@ -59,9 +59,9 @@ def canonical(json: Column) -> Column:
 
 
 def message_key(fields: list[str]) -> Column:
-    """Digests of role, text and all fields: tells messages of one turn apart, and orders them."""
-    digests = [F.sha2(F.coalesce(c, F.lit("")), 256) for c in ("role", "content")]
-    return F.concat(*digests, F.sha2(F.to_json(F.struct(*fields)), 256))
+    """Half a digest of role and text, then half of one of all fields: 32 bytes that tell messages of one turn apart, and order them."""
+    said = F.concat(F.coalesce("role", F.lit("")), F.lit("\x1f"), F.coalesce("content", F.lit("")))
+    return F.unhex(F.concat(*[F.substring(F.sha2(x, 256), 1, 32) for x in (said, F.to_json(F.struct(*fields)))]))
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def ordered(linked: DataFrame) -> DataFrame:
     # After k rounds a pointer is 2**k steps long; past the longest conversation only cycles are left.
     while reach <= 2 * longest and not now.filter("at IS NOT NULL").isEmpty():
         onward = now.select("conv", F.col("place").alias("at"), F.col("at").alias("next"), F.col("latest").alias("more"), F.col("steps").alias("further"))
-        jumped = now.join(onward, ["conv", "at"], "left")
+        # Only messages that still point somewhere go on; those at their chain's start are targets alone.
+        jumped = now.filter("at IS NOT NULL").join(onward, ["conv", "at"], "left")
         now = stored(
             jumped.select(
                 "conv",
@@ -109,7 +110,7 @@ def ordered(linked: DataFrame) -> DataFrame:
                 F.col("next").alias("at"),
                 F.greatest("latest", "more").alias("latest"),
                 (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
-            ),
+            ).union(now.filter("at IS NULL").select("conv", "place", "at", "latest", "steps")),
             "tool-order",
         )
         reach *= 2
@@ -196,7 +197,7 @@ OP4_SQL = rf"""
 WITH RECURSIVE r AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS content, count(*) AS copies,
          CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-         sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS k,
+         substr(sha256(coalesce(role, '') || chr(31) || coalesce(text, '')), 1, 32) AS k,
          CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS own
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
 ), calls AS (
