@@ -13,7 +13,7 @@ def file_name(path: Column) -> Column:
 
 
 def layer_names(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, layer): files of a folder in name order, counted from 0.
+    """(path, layer): files of a folder and of the folders in it, by their own names, counted from 0; equal names by path.
 
     Only paths are listed, contents stay unread. The window has no partition
     key because it ranks file names, one per layer, never data rows. The names
@@ -27,7 +27,7 @@ def layer_names(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
         .load(folder)
         .select("path")
     )
-    rank = F.row_number().over(Window.orderBy("path")) - 1
+    rank = F.row_number().over(Window.orderBy(file_name(F.col("path")), "path")) - 1
     return materialise(files.select("path", rank.cast("int").alias("layer")), "layer-names")
 
 
