@@ -6,8 +6,9 @@ in ``</w>``. Each merge loop holds the part boundaries of one short word and
 the ranks of adjacent parts in two lists: it scans for the smallest rank,
 deletes that boundary, and refreshes the ranks on either side.
 
-Since no piece spans white space, words are encoded one by one, and each worker
-remembers those it has met lately. Defined results: a null text is empty; an
+Since no piece spans white space, texts are taken apart into distinct words and
+these into pieces, and each worker remembers the pieces it has met lately, their
+forms in Arrow columns. Defined results: a null text is empty; an
 empty text has no ids and decodes to the empty string.
 """
 
@@ -18,6 +19,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +29,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents
-from .words import WHITE_SPACE, WORDS, Remembered, slices, split_words
+from .words import WHITE_SPACE, WORDS, RememberedRows, slices, split_words
 
 #: Pieces up to this many bytes are merged many at a time, longer ones singly.
 SHORT_BYTES = 40
-#: Words and pieces that a task remembers, twice over; a bound on memory that changes no result.
-REMEMBERED = 150_000
+#: Pieces that a task remembers, twice over, and bytes of text that it takes at a time; bounds on
+#: memory that change no result.
+REMEMBERED, SLICE_BYTES = 100_000, 2_000_000
 #: Stands where a row of parts has ended.
 NO_PART = (1 << 20) - 1
 
 # Fixed values of this kind of file: the pieces, the end mark.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
+PIECE = regex.compile(PIECES.replace(r"\s", WHITE_SPACE))
+PIECE_OR_LINE = regex.compile(PIECE.pattern + r"|\n")
+
+
+def normalise(text: str) -> str:
+    text = text if text.isascii() else unicodedata.normalize("NFC", text)
+    # Letter by letter: a capital sigma becomes the same small letter everywhere.
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
+def pieces_of(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The pieces of all words in lists, where the lists begin and end, and the place of each word's list."""
+    # No word and no piece holds a line end, so all are worked on at once.
+    words = normalise("\n".join(words)).split("\n") if words else []
+    whole = np.fromiter(map(str.isalpha, words), bool, len(words))  # letters only: one piece
+    found = PIECE_OR_LINE.findall("\n".join([*compress(words, ~whole), ""])) if not whole.all() else []
+    line_ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+    counts = np.concatenate([np.ones(whole.sum(), np.int64), np.diff(line_ends, prepend=-1) - 1])
+    places = np.empty(len(words), np.int64)
+    places[np.concatenate([np.flatnonzero(whole), np.flatnonzero(~whole)])] = np.arange(len(words))
+    return [*compress(words, whole), *filter("\n".__ne__, found)], np.concatenate([[0], np.cumsum(counts)]), places
+
 
 def byte_symbols() -> list[str]:
     """A printable character for each byte: itself where it is printable Latin-1, else from U+0100 on."""
@@ -52,6 +77,11 @@ def byte_symbols() -> list[str]:
     return table
 
 
+def joined(ends: np.ndarray | pa.Array, values: pa.Array) -> pa.Array:
+    """Runs of values with a space between; ``ends`` tells where they begin and end."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), " ")
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -65,15 +95,14 @@ class WordBpe:
         self.tokens.update({i: t for t, i in self.special.items()})
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
-        self.pieces = regex.compile(PIECES.replace(r"\s", WHITE_SPACE))
-        self.pieces_and_lines = regex.compile(self.pieces.pattern + r"|\n")
-        self.decimal = {i: str(i) for i in self.tokens}
+        numbers = range(max(self.tokens) + 1)
+        self.printed_ids = [pa.array(list(map(str, numbers))), pa.array([self.tokens.get(i, "") for i in numbers])]
         self.first_ids = np.array([self.ids[c] for c in self.symbols])
         self.last_ids = np.array([self.ids[c + WORD_END] for c in self.symbols])
         pairs = sorted((self.ids[a] << 20 | self.ids[b], r) for (a, b), r in self.ranks.items())
         self.pair_keys, self.pair_rank = np.array(pairs, np.int64).T.copy()
         self.merged_ids = np.array([self.ids[a + b] for a, b in self.ranks])
-        self.known, self.known_pieces = Remembered(2, REMEMBERED), Remembered(2, REMEMBERED)  # ids in decimal, decoded form
+        self.known = RememberedRows([pa.string(), pa.string()], REMEMBERED)  # ids in decimal, decoded form
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
@@ -100,11 +129,6 @@ class WordBpe:
         ids = self.ids
         return [ids[part(a, b)] for a, b in zip(bounds, bounds[1:])]
 
-    def normalise(self, text: str) -> str:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        # Letter by letter: a capital sigma becomes the same small letter everywhere.
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
     def encode_word(self, word: str) -> list[int]:
         """Ids of a text without white space."""
         out: list[int] = []
@@ -112,7 +136,7 @@ class WordBpe:
             if segment in self.special:
                 out.append(self.special[segment])
                 continue
-            for piece in self.pieces.findall(self.normalise(segment)):
+            for piece in PIECE.findall(normalise(segment)):
                 out += self.merge(piece)
         return out
 
@@ -126,8 +150,12 @@ class WordBpe:
         """Tokens joined by one space, the form in which a file without a decoder gives them."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
-    def merge_rows(self, pieces: list[bytes]) -> list[list[int]]:
-        """The loop of ``merge`` for many short pieces at once, one row each."""
+    def merge_rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The loop of ``merge`` for many short pieces at once, one row each.
+
+        Returns the numbers of the pieces in the order in which they were ready,
+        how many ids each has, and the ids.
+        """
         n, width = len(pieces), max(map(len, pieces)) + 1
         rows, pos = np.arange(n), np.arange(width)
         length = np.fromiter(map(len, pieces), np.int64, n)
@@ -135,15 +163,17 @@ class WordBpe:
         ids = np.where(pos < length[:, None], self.first_ids[raw], NO_PART)
         ids[rows, length - 1] = self.last_ids[raw[rows, length - 1]]
         ranks = self.pair_ranks(ids[:, :-1], ids[:, 1:])
-        out: list[list[int]] = [[]] * n
+        order, counts, flat = [rows[:0]], [rows[:0]], [rows[:0]]
         while len(rows):
             i = ranks.argmin(1)
             at = np.arange(len(rows))
             least = ranks[at, i]
             done = least == len(self.ranks)
             if done.any():
-                for k, parts in zip(rows[done].tolist(), ids[done].tolist()):
-                    out[k] = parts[: parts.index(NO_PART)]
+                ready = ids[done]
+                order.append(rows[done])
+                counts.append((ready != NO_PART).sum(1))
+                flat.append(ready[ready != NO_PART])
                 rows, ids, ranks, i, least = rows[~done], ids[~done], ranks[~done], i[~done], least[~done]
                 at = at[: len(rows)]
             ids[at, i] = self.merged_ids[least]
@@ -155,7 +185,7 @@ class WordBpe:
             ranks[at, i] = self.pair_ranks(ids[at, i], ids[at, i + 1])
             left = i > 0
             ranks[at[left], i[left] - 1] = self.pair_ranks(ids[at[left], i[left] - 1], ids[at[left], i[left]])
-        return out
+        return np.concatenate(order), np.concatenate(counts), np.concatenate(flat)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of adjacent parts; the number of merges where the pair has none."""
@@ -163,57 +193,49 @@ class WordBpe:
         k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[k] == key, self.pair_rank[k], len(self.ranks))
 
-    def learn_pieces(self, pieces: set[str]) -> None:
-        known = self.known_pieces
+    def piece_forms(self, pieces: list[str]) -> tuple[list[str], list[pa.Array]]:
+        """The pieces in some order, and their ids in decimal and decoded."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        found: list[tuple[str, list[int]]] = []
-        for piece in known.lacking(pieces):
+        long: list[str] = []
+        for piece in pieces:
             raw = piece.encode("utf-8")
             if len(raw) > SHORT_BYTES:
-                found.append((piece, self.merge(piece)))
+                long.append(piece)
             else:
                 by_width.setdefault((len(raw) + 3) // 4, []).append((piece, raw))
+        merged = list(map(self.merge, long))
+        keys, counts, flat = long, [np.fromiter(map(len, merged), np.int64, len(merged))], [np.fromiter(chain(*merged), np.int64)]
         for group in by_width.values():
-            found += zip([p for p, _ in group], self.merge_rows([r for _, r in group]))
-        token, printed = self.tokens, self.decimal
-        for piece, ids in found:
-            known[0][piece] = " ".join([printed[i] for i in ids])
-            known[1][piece] = " ".join([token[i] for i in ids])
-
-    def learn(self, words: set[str]) -> None:
-        """Remember the words' ids and decoded forms; afterwards all of ``words`` are known."""
-        known, pieces_known = self.known, self.known_pieces
-        fresh = known.lacking(words)
-        plain = [w for w in fresh if "<|" not in w]
-        # No piece holds a line end, so one search over joined words keeps them apart.
-        pieces = self.pieces_and_lines.findall(self.normalise("\n".join([*plain, ""])))
-        self.learn_pieces({p for p in pieces if p != "\n"})
-        for forms, piece_forms in zip(known, pieces_known):
-            piece_forms["\n"] = "\n"
-            joined = " ".join(map(piece_forms.__getitem__, pieces))
-            forms.update(zip(plain, map(str.strip, joined.split("\n"))))
-            del piece_forms["\n"]
-        for word in fresh.difference(plain):
-            ids = self.encode_word(word)
-            known[0][word], known[1][word] = " ".join(map(str, ids)), self.decode(ids)
+            order, n, ids = self.merge_rows([r for _, r in group])
+            keys += [group[k][0] for k in order.tolist()]
+            counts.append(n)
+            flat.append(ids)
+        ends, ids = np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(flat)
+        return keys, [joined(ends, table.take(pa.array(ids))) for table in self.printed_ids]
+
+    def word_forms(self, words: list[str]) -> list[pa.Array]:
+        """The words' ids in decimal, and their decoded forms."""
+        marked = np.fromiter(("<|" in w for w in words), bool, len(words))
+        pieces, ends, places = pieces_of(["" if m else w for w, m in zip(words, marked)] if marked.any() else words)
+        rows = pa.array(self.known.rows(pieces, self.piece_forms))
+        out = [joined(ends, column.take(rows)).take(pa.array(places)) for column in self.known.columns]
+        if marked.any():
+            ids = [self.encode_word(w) for w in compress(words, marked)]
+            shown = [" ".join(map(str, x)) for x in ids], [self.decode(x) for x in ids]
+            out = [pc.replace_with_mask(forms, pa.array(marked), pa.array(x, pa.string())) for forms, x in zip(out, shown)]
+        return out
 
     def forget(self) -> None:
         """Release what one task remembered."""
         self.known.forget()
-        self.known_pieces.forget()
         pa.default_memory_pool().release_unused()
 
     def printed(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """The ids of each text in decimal, and its decoded form, both joined by one space."""
         split = split_words(texts)
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(set(words))
-        out = []
-        for known in self.known:
-            forms = pa.array(list(map(known.__getitem__, words)), pa.string()).take(coded.indices)
-            out.append(pc.binary_join(pa.ListArray.from_arrays(split.offsets, forms), " "))
-        return out[0], out[1]
+        ids, back = (joined(split.offsets, forms.take(coded.indices)) for forms in self.word_forms(coded.dictionary.to_pylist()))
+        return ids, back
 
 
 @lru_cache(maxsize=4)
@@ -239,9 +261,9 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
         bpe = word_bpe(vocabulary or default_vocabulary())
         for batch in batches:
             counts, digests, decoded = [], [], []
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE_BYTES):
                 ids, back = bpe.printed(texts)
-                counts += [len(line) and line.count(" ") + 1 for line in ids.to_pylist()]
+                counts += pc.add(pc.count_substring(ids, " "), pc.not_equal(ids, "").cast(pa.int32())).to_pylist()
                 digests += [hashlib.sha256(x.as_buffer()).hexdigest() for x in ids]
                 decoded += [hashlib.sha256(x.as_buffer()).hexdigest() for x in back]
             yield pa.RecordBatch.from_arrays(

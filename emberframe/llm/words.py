@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,36 @@ class Remembered(list):
         return fresh.difference(again)
 
 
+class RememberedRows:
+    """Rows of Arrow columns by key: those of the last ``size`` keys met, and of as many before them."""
+
+    def __init__(self, types: list[pa.DataType], size: int = REMEMBERED_WORDS):
+        self.types, self.size = types, size
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew, so that a worker that waits for its next task holds no rows."""
+        self.numbers: dict[str, int] = {}
+        self.columns = [pa.array([], t) for t in self.types]
+        self.older = self.numbers, self.columns
+
+    def rows(self, keys: list[str], work_out: Callable[[list[str]], tuple[list[str], list[pa.Array]]]) -> np.ndarray:
+        """The numbers of the keys' rows in ``columns``; ``work_out`` gives rows for new keys, in an order of its own."""
+        distinct = set(keys)
+        fresh = distinct.difference(self.numbers)
+        if len(self.numbers) + len(fresh) > self.size:
+            self.older = self.numbers, self.columns
+            self.numbers, self.columns = {}, [pa.array([], t) for t in self.types]
+            fresh = distinct
+        numbers, columns = self.older
+        again = list(fresh.intersection(numbers))
+        kept = pa.array(list(map(numbers.__getitem__, again)), pa.int32())
+        new, added = work_out(list(fresh.difference(again)))
+        self.numbers.update(zip([*again, *new], count(len(self.numbers))))
+        self.columns = [pa.concat_arrays([c, old.take(kept), more]) for c, old, more in zip(self.columns, columns, added)]
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.int32, len(keys))
+
+
 def raw_bytes(texts: pa.Array) -> bytes:
     """The UTF-8 bytes of all texts, one after another."""
     data = texts.buffers()[2]

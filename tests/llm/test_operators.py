@@ -50,6 +50,25 @@ def test_bpe_equals_the_library():
     assert coder.merge("x" * 3000) == library("x" * 3000)[0]
 
 
+def test_bpe_holds_little_memory():
+    """Beyond the vocabulary, with more new words than a task remembers."""
+    import tracemalloc
+
+    coder = bpe.WordBpe(bpe.default_vocabulary())
+    syllables = [a + b for a in "bcdfghjklmnprstvwz" for b in "aeiouéöñ"]
+    word = lambda n: "".join(syllables[n // 144**k % 144] for k in range(3))
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for start in range(0, 360_000, 60_000):
+            printed, _ = coder.printed(pa.array([" ".join(map(word, range(start, start + 60_000)))]))
+        peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert printed[0].as_py().split()[-3:] == " ".join(map(str, library(word(359_999))[0])).split()[-3:]
+    assert peak < 75e6
+
+
 def test_ids_of_whole_texts(odd):
     rows = bpe.encoded(odd.withColumn("ids", F.lit("clash"))).collect()
     assert len(rows) == odd.count() and all(r["ids"] == library(r["text"])[0] for r in rows)
