@@ -15,6 +15,7 @@ their texts differ, then in order of text.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,21 +28,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import PIECES, pieces_of
 from .shared import documents, scratch_folder
-from .words import Remembered, slices, split_words
+from .words import RememberedRows, slices, split_words
 
 #: Stands after the ids of each document.
 END_ID = 1
-#: Words that the library gets as one text.
+# Fixed values of files that take words apart as ``bpe.pieces_of`` does.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, BYTES]}
+#: Words or pieces that the library gets as one text.
 WORDS_AT_ONCE = 200
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, which sees each word again only after it was forgotten.
+    """Ids by the tokenizers library, which sees each word or piece again only after it was forgotten.
 
     Right for vocabularies whose pieces never span white space, such as those
-    that drop it.
+    that drop it. Where a file takes words apart as ``bpe.pieces_of`` does, the
+    library gets pieces, as words share them; otherwise it gets words.
     """
 
     def __init__(self, path: str):
@@ -52,38 +62,48 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.marks = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.known = Remembered()
+        self.known = RememberedRows([pa.list_(pa.int32())])
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_piece = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+        self.of_parts = self.tokenizer
+        if self.by_piece:  # pieces need neither be normalised nor taken apart
+            self.of_parts = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": BYTES}))
 
-    def ids_of(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: set[str]) -> None:
-        fresh = self.known.lacking(words)
+    def part_ids(self, parts: list[str]) -> tuple[list[str], list[pa.Array]]:
         mark, mark_id = next(iter(self.marks.items()))
-        opening = mark[:2]
-        plain = [w for w in fresh if opening not in w]
-        # A special token between words keeps their ids apart; this call works out no offsets.
-        joined = [mark.join(["", *plain[i : i + WORDS_AT_ONCE]]) for i in range(0, len(plain), WORDS_AT_ONCE)]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([*joined, mark], add_special_tokens=False)]
-        ids = np.array(list(chain.from_iterable(lists)), np.int32)
-        cuts = np.flatnonzero(ids == mark_id)
-        raw = ids.tobytes()
-        known = self.known[0]
-        for word, a, b in zip(plain, (cuts[:-1] + 1).tolist(), cuts[1:].tolist()):
-            known[word] = raw[4 * a : 4 * b]
-        for word in fresh.difference(plain):
-            known[word] = self.ids_of(word).tobytes()
+        # A special token between parts keeps their ids apart; this call works out no offsets.
+        joined = [mark.join(["", *parts[i : i + WORDS_AT_ONCE]]) for i in range(0, len(parts), WORDS_AT_ONCE)]
+        lists = [e.ids for e in self.of_parts.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(lists), np.int32)
+        # Of each part's ids the mark is the first.
+        starts = np.append(np.flatnonzero(ids == mark_id), len(ids))
+        ends = pa.array(starts - np.arange(len(starts)), pa.int32())
+        return parts, [pa.ListArray.from_arrays(ends, pa.array(ids[ids != mark_id]))]
+
+    def word_ids(self, words: list[str]) -> pa.ListArray:
+        """The ids of each word."""
+        opening = next(iter(self.marks))[:2]
+        marked = [k for k, w in enumerate(words) if opening in w]
+        plain = words.copy()
+        for k in marked:
+            plain[k] = ""
+        parts, ends, places = pieces_of(plain) if self.by_piece else (plain, np.arange(len(plain) + 1), np.arange(len(plain)))
+        rows = pa.array(self.known.rows(parts, self.part_ids))
+        taken = self.known.columns[0].take(rows)
+        by_word = pa.ListArray.from_arrays(taken.offsets.take(pa.array(ends)), taken.values)
+        if marked:
+            places[marked] = len(by_word) + np.arange(len(marked))
+            by_word = pa.concat_arrays([by_word, pa.array([self.ids_of(words[k]) for k in marked], by_word.type)])
+        return by_word.take(pa.array(places))
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text, with the end id."""
         split = split_words(texts)
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(set(words))
-        raw = list(map(self.known[0].__getitem__, words))
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
-        by_word = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-        taken = by_word.take(coded.indices)
+        taken = self.word_ids(coded.dictionary.to_pylist()).take(coded.indices)
         starts = taken.offsets.to_numpy()[split.offsets.to_numpy()]
         ids = np.insert(taken.values.to_numpy(), starts[1:], END_ID)
         return pa.ListArray.from_arrays(pa.array(starts + np.arange(len(starts)), pa.int32()), pa.array(ids, pa.int32()))

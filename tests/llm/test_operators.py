@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -100,6 +101,21 @@ def test_token_files(spark, odd):
     assert token_files.read_ids(spark, path).filter("doc_id = 5").inputFiles()
 
 
+def test_library_gets_shared_pieces_once(tmp_path):
+    texts = ["word Word, word. (WORD)", "x<|y <|endoftext|>word", "", "ΟΔΟΣ it's"]
+    encoder = token_files.LibraryEncoder(token_files.default_vocabulary())
+    want = [[*library(t)[0], token_files.END_ID] for t in texts]
+    assert encoder.encode(pa.array(texts)).to_pylist() == want
+    assert sorted(encoder.known.numbers) == sorted(["word", ",", ".", "(", ")", "it", "'s", "οδοσ"])
+    # A file that takes words apart in another way gets them whole.
+    spec = json.loads(encoder.tokenizer.to_str())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    other = token_files.LibraryEncoder(str(path))
+    assert other.encode(pa.array(texts)).to_pylist() == [[*other.ids_of(t), token_files.END_ID] for t in texts] != want
+
+
 def test_exact_dedup_and_a_second_batch(spark, odd):
     index = exact_dedup.DigestIndex.create(spark, buckets=3)
     rows = exact_dedup.exact_dedup(odd, index).collect()
